@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pixelweave.llm import host_quality
+from pixelweave.llm import chat_format, host_quality, piece_codec, warc_chunks
 
-_MODULES = (host_quality,)
+_MODULES = (host_quality, chat_format, warc_chunks, piece_codec)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
