@@ -114,8 +114,13 @@ def parse_header(block: bytes) -> dict[str, str]:
 
 
 def read_archive(archive: DataFrame) -> DataFrame:
-    """One row a record, read back chunk by chunk; a wrong digest, a gap or a missing end is an error."""
-    dealt = archive.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    """One row a record, read back chunk by chunk; a wrong digest, a gap or a missing end is an error.
+
+    A record of one chunk is read where it lies; only the chunks of longer
+    records are brought together, so short payloads aren't moved again.
+    """
+    alone = (F.col("chunk_no") == 0) & F.col("chunk_end")
+    longer = archive.where(~alone).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
 
     def urn(x: str | None) -> int | None:
         return None if x is None or x == "<urn:page:>" else int(x.removeprefix("<urn:page:").removesuffix(">"))
@@ -149,7 +154,7 @@ def read_archive(archive: DataFrame) -> DataFrame:
         if out:
             yield _record_batch(out, names)
 
-    return dealt.mapInArrow(read, RECORDS)
+    return archive.where(alone).mapInArrow(read, RECORDS).unionByName(longer.mapInArrow(read, RECORDS))
 
 
 def _record_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
