@@ -243,17 +243,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = staged(placed.join(lead, "leader", "left").withColumn("lead_root", F.coalesce("lead_root", "leader")), "placed")
     strangers = placed.where("root <> lead_root").select("bucket", F.col("rep").alias("a"), F.col("root").alias("ra"))
     torn = strangers.select("bucket").distinct()
-    sized_a = about.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    sized_b = about.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    facts = sets.join(about, "rep")
+    sized_a = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("items").alias("ia"))
+    sized_b = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("items").alias("ib"))
     # two strangers are met from both sides, of which one is enough
     one_way = (F.col("rb") == F.col("lead_b")) | (F.col("a") < F.col("b"))
     rest = placed.where("rep <> leader").join(torn, "bucket", "left_semi").select("bucket", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("lead_root").alias("lead_b"))
-    more = (
-        strangers.join(sized_a, "a").join(rest.join(sized_b, "b"), "bucket")
-        .where((F.col("ra") != F.col("rb")) & one_way & _likely(F.col("xa"), F.col("xb"), F.col("na"), F.col("nb"), threshold))
-        .select("a", "b").distinct()
-    )
-    again = staged(_verified(more, sets, threshold), "links")
+    # the full sets are held against each other inside the join, so near misses of a large group are never rows
+    both = F.size(F.array_intersect("ia", "ib"))
+    linked = 100 * both >= threshold * (F.col("na") + F.col("nb") - both)
+    near_enough = _likely(F.col("xa"), F.col("xb"), F.col("na"), F.col("nb"), threshold) & linked
+    again = strangers.join(sized_a, "a").join(rest.join(sized_b, "b"), "bucket").where((F.col("ra") != F.col("rb")) & one_way & near_enough).select("a", "b").distinct()
+    again = staged(again, "links")
     roots = components(links.unionByName(again))
 
     group = classes.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
