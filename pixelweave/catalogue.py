@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pixelweave.jobs import relational
+
+_MODULES = (relational,)
+
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
