@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pixelweave.jobs import relational
+from pixelweave.jobs import filtering, relational, workflows
 
-_MODULES = (relational,)
+_MODULES = (relational, filtering, workflows)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
