@@ -125,8 +125,8 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     """Per row of ``docs``: doc_id, source, n_tokens (words), weight of its source, block, repeats.
 
     The budget is ``budget_share`` of all tokens. Null text has no tokens, a null
-    source is the source ''. A source without any tokens has weight 0 and no
-    repeats. An empty table gives no rows. Rows of the same id count one by one.
+    source is the source ''. Texts without tokens cost nothing of the budget; a
+    source of such texts alone has weight 0 and stays once. An empty table gives no rows. Rows of the same id count one by one.
     """
     sized = staged(docs.select(*_sized(docs, doc_id, source, text)), "sized")
     plan, blocks = block_plan(sized, entropy_share, max_repeats, budget_share)
