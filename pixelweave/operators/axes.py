@@ -100,7 +100,7 @@ def apply_planes(pixels: DataFrame, fn, iterate: list[str], out: str = "image",
     kinds = {"y": "double" if out == "points" else "int", "x": "double" if out == "points" else "int", "label": "long"}
     fields = [f"{c} {pixels.schema[c].dataType.simpleString()}" for c in iterate] + [f"{c} {kinds.get(c, 'double')}" for c in names]
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
         plane = np.zeros((y.max() + 1, x.max() + 1))
         plane[y, x] = rows[value]

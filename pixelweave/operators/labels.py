@@ -75,7 +75,7 @@ def links(labels: DataFrame, axis: str = "z", threshold: float = 0.1, criterion:
         raise ValueError("threshold lies in [0, 1]")
     pairs = overlaps(labels, axis, key).select(key, axis, "a", "b", F.col(criterion).alias("score"))
 
-    def solve(keys, rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, ia = np.unique(rows["a"], return_inverse=True)
         b, ib = np.unique(rows["b"], return_inverse=True)
         block = _blocks(ia, ib + len(a), len(a) + len(b))[ia]

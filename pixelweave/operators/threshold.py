@@ -116,7 +116,7 @@ def cuts(pixels: DataFrame, method: str = "otsu", per: list[str] | None = None,
         raise ValueError(f"unknown method {method!r}")
     find = _loop(method)
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("b")
         cut = find(rows["b"].to_numpy(), rows["n"].to_numpy())
         if cut != cut and strict:
@@ -153,7 +153,7 @@ def multiotsu_cuts(pixels: DataFrame, classes: int = 3, per: list[str] | None =
         raise ValueError("two classes at least")
     per = per or ["image_id"]
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("b")
         b, n = rows["b"].to_numpy(), rows["n"].to_numpy().astype(float)
         return pd.DataFrame([[*key, best_cuts(b, n, classes)]], columns=[*per, "cuts"])
