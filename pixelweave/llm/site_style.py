@@ -58,13 +58,17 @@ _DIGITS = re.compile(r"\d+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
-def _named(attributes: str) -> tuple[str, bool]:
+#: An article's own head holds its title.
+NAMES_INSIDE = NAMES - {"header", "masthead"}
+
+
+def _named(attributes: str, names: frozenset[str] = NAMES) -> tuple[str, bool]:
     """Class and id for the path (numbers as one), and whether they say that this is no text."""
     shown, off = "", False
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            off |= any(p in NAMES for p in _PART.findall(value))
+            off |= any(p in names for p in _PART.findall(value))
             shown += ("." if key == "class" else "#") + _DIGITS.sub("0", ".".join(value.split()))
         elif key == "role":
             off |= value in _ROLES
@@ -136,7 +140,7 @@ class Page:
         if tag not in INLINE:
             self._flush()
         _, above, off, content = self._stack[-1]
-        shown, named_off = _named(attributes) if attributes else ("", False)
+        shown, named_off = _named(attributes, NAMES_INSIDE if content else NAMES) if attributes else ("", False)
         path = above if tag in INLINE else f"{above}/{tag}{shown}"
         if tag not in INLINE:
             self.children.setdefault(above, []).append(tag + shown)

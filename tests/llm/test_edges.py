@@ -215,7 +215,7 @@ def test_chat_layouts_and_round_trip(spark):
 
 
 def test_site_style(spark):
-    body = '<html><head><title>t</title></head><body><header>Site</header><ul class="menu"><li>a<li>b</ul><div class="box7">Same words on each page</div><article><h1>Head {0}</h1><p>One &amp; <b>two</b> {0}<br>x<form>f</form><div class="comments"><p>c</p></div></article><footer>z</footer>'
+    body = '<html><head><title>t</title></head><body><header>Site</header><ul class="menu"><li>a<li>b</ul><div class="box7">Same words on each page</div><article><div class="article-header"><h1>Head {0}</h1></div><div class="notice">n</div><p>One &amp; <b>two</b> {0}<br>x<form>f</form><div class="comments"><p>c</p></div></article><footer>z</footer>'
     rows = [(i, f"http://h/{i}", body.format(i), "n") for i in range(8)] + [(100, None, None, "n"), (101, "x", "", "n"), (102, "http://o/", "plain <p>text < 5 &lt; 6", "n"), (102, "http://o/", "plain <p>text < 5 &lt; 6", "n")]
     out = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
     by = {r.page_id: r for r in out}
