@@ -6,15 +6,16 @@ repeats the same content on many pages is a template. From counts over all pages
 of a host, each path gets a content importance (one minus the mean entropy of its
 contents over the pages, in units of the log of the page count) and a
 presentation importance (the entropy of its child sequences); a branch combines
-the two over all its leaves. Branches of low importance are cut from every page
-of the host, as are branches whose element or name says that they are no text.
+the two over all its leaves. Pages of a host with the same whole content count
+once. Standing inside or outside an article is evidence added to the importance,
+and branches whose sum is low are cut from every page of the host. Branches whose
+element or name says that they are no text are cut whatever their importance.
 """
 
 from __future__ import annotations
 
 import html as html_entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pixelweave.functions.staging import staged
 
 #: A branch is cut below this importance, if at least this many pages of the host have it.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.25, 5
+#: Added to the importance of a branch inside an article, and outside of it on a page that has one.
+INSIDE, OUTSIDE = 0.2, -0.5
 #: Weight of the presentation in the importance of a branch.
 PRESENTATION = 0.1
 #: Style counts that a task gathers before it hands them on.
@@ -197,35 +200,46 @@ def ancestors(path: str) -> list[str]:
 
 
 def style_rows(page: Page) -> Iterator[tuple[str, str, int]]:
-    """(path, kind, feature) of a page: each path's contents ('c') and its child sequence ('p'), once each."""
+    """(path, kind, feature) of a page: each path's contents ('c'), its child sequence ('p') and whether it has text beside an article ('o'), once each."""
     yield from {(path, "c", xxhash.xxh3_64_intdigest(text) >> 1) for path, text, _ in page.blocks}
+    yield from {(path, "o", 0) for path, _, content in page.blocks if page.has_content and not content}
     yield from {(path, "p", xxhash.xxh3_64_intdigest(" ".join(kids)) >> 1) for path, kids in page.children.items()}
 
 
+def whole(page: Page) -> int:
+    """Digest of all text of a page, of its articles if it has some."""
+    return xxhash.xxh3_64_intdigest("\n".join(text for _, text, content in page.blocks if content or not page.has_content)) >> 1
+
+
 def style_tree(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """(host, path, pages, importance) of every branch of the merged trees."""
+    """(host, path, pages, importance, inside, beside) of every branch of the merged trees.
+
+    ``pages`` counts contents, those of pages with the same whole content once.
+    ``inside`` is whether the path is in an article, ``beside`` whether it has text outside on a page with one.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counts: Counter) -> pa.RecordBatch:
-            keys = list(counts)
-            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], ["host", "path", "kind", "feature", "n"])
+        def out(found: set) -> pa.RecordBatch:
+            keys = list(found)
+            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["host", "whole", "path", "kind", "feature"])
 
-        counts: Counter = Counter()
+        found: set = set()
         for batch in batches:
             hosts, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 if source := texts[i].as_py():
-                    h = hosts[i].as_py()
-                    counts.update((h, *row) for row in style_rows(Page(source)))
-                if len(counts) >= _FLUSH:
-                    yield out(counts)
-                    counts = Counter()
-        if counts:
-            yield out(counts)
-
-    rows = pages.select(F.col(host), F.col(html)).mapInArrow(work, "host string, path string, kind string, feature long, n long")
-    features = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+                    h, page = hosts[i].as_py(), Page(source)
+                    key = whole(page)
+                    found.update((h, key, *row) for row in style_rows(page))
+                if len(found) >= _FLUSH:
+                    yield out(found)
+                    found = set()
+        if found:
+            yield out(found)
+
+    rows = pages.select(F.col(host), F.col(html)).mapInArrow(work, "host string, whole long, path string, kind string, feature long")
+    features = rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     nodes = features.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
     # content: mean over occurrences of log_m(n); presentation: entropy in units of log m
     m = F.greatest("total", F.lit(2))
@@ -237,20 +251,20 @@ def style_tree(pages: DataFrame, host: str, html: str) -> DataFrame:
         F.max("total").alias("pages"), (F.sum(F.col("value") * F.col("total")) / F.sum("total")).alias("content")
     )
     looks = nodes.where("kind = 'p'").select("host", "path", F.col("value").alias("look"))
-    tree = contents.join(looks, ["host", "path"], "left")
-    return tree.select("host", "path", "pages", F.when(F.col("look").isNull(), F.col("content")).otherwise((1 - PRESENTATION) * F.col("content") + PRESENTATION * F.col("look")).alias("importance"))
-
-
-#: Elements of running text, which are never cut inside an article: copies of one article are no template.
-_FLOW = re.compile(r"(?:/(?:article|main|section|div|p|h[1-6]|ul|ol|li|blockquote|pre|table|tbody|tr|td|figure|figcaption|dl|dt|dd|html|body))+$")
+    beside = nodes.where("kind = 'o'").select("host", "path", F.lit(True).alias("beside"))
+    tree = contents.join(looks, ["host", "path"], "left").join(beside, ["host", "path"], "left")
+    importance = F.when(F.col("look").isNull(), F.col("content")).otherwise((1 - PRESENTATION) * F.col("content") + PRESENTATION * F.col("look"))
+    inside = F.col("path").rlike(r"/(?:article|main)(?:[.#/]|$)")
+    return tree.select("host", "path", "pages", importance.alias("importance"), inside.alias("inside"), F.coalesce("beside", F.lit(False)).alias("beside"))
 
 
-def main_text(page: Page, low: frozenset[str]) -> str:
+def main_text(page: Page, low: frozenset[str], good: frozenset[str] = frozenset()) -> str:
+    """Blocks whose branches aren't low; beside an article, those of good paths only."""
     kept = []
     for path, text, content in page.blocks:
-        if page.has_content and not content:
+        if page.has_content and not content and path not in good:
             continue
-        if low and not (content and _FLOW.match(path)) and any(p in low for p in ancestors(path)):
+        if low and any(p in low for p in ancestors(path)):
             continue
         kept.append(text)
     return "\n\n".join(kept)
@@ -265,24 +279,31 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
-    tree = staged(style_tree(own, "host", "html").where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)), "style")
+    score = F.col("importance") + F.when(F.col("inside"), INSIDE).otherwise(0.0)
+    is_low = score < LEAST_IMPORTANCE
+    # text on few pages has no known importance: it stays, but not beside an article
+    is_good = F.col("beside") & (F.col("importance") + OUTSIDE >= LEAST_IMPORTANCE)
+    tree = style_tree(own, "host", "html").where(F.col("pages") >= LEAST_PAGES)
+    tree = staged(tree.select("host", "path", is_low.alias("is_low"), is_good.alias("is_good")).where("is_low OR is_good"), "style")
     # only the topmost low branches of a host are kept, so its list stays short however deep they go
-    top = _topmost(tree, F.regexp_replace("path", r"/[^/]*$", ""))
-    low = staged(top.groupBy("host").agg(F.collect_set("path").alias("low")), "low")
+    top = _topmost(tree.where("is_low").select("host", "path"), F.regexp_replace("path", r"/[^/]*$", ""))
+    marks = top.select("host", F.col("path").alias("low"), F.lit(None).cast("string").alias("good"))
+    marks = marks.unionByName(tree.where("is_good").select("host", F.lit(None).cast("string").alias("low"), F.col("path").alias("good")))
+    low = staged(marks.groupBy("host").agg(F.collect_set("low").alias("low"), F.collect_set("good").alias("good")), "low")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, urls, sources, lows = (batch.column(i) for i in range(4))
+            ids, urls, sources, lows, goods = (batch.column(i) for i in range(5))
             known: dict[tuple, frozenset] = {}
             texts = []
             for i in range(batch.num_rows):
                 source = sources[i].as_py()
-                paths = tuple(lows[i].as_py() or ())
-                texts.append(main_text(Page(source), known.setdefault(paths, frozenset(paths))) if source else "")
+                low_paths, good_paths = (known.setdefault(p, frozenset(p)) for p in (tuple(lows[i].as_py() or ()), tuple(goods[i].as_py() or ())))
+                texts.append(main_text(Page(source), low_paths, good_paths) if source else "")
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    return own.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(work, kinds)
+    return own.join(low, "host", "left").select("page_id", "url", "html", "low", "good").mapInArrow(work, kinds)
 
 
 def _topmost(tree: DataFrame, parent: Column) -> DataFrame:
