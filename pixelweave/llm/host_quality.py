@@ -18,6 +18,8 @@ from pixelweave.llm.text import SPACES, let, words
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Symbols to a hundred word characters that ``keep_good`` allows.
+MAX_SYMBOL_PERCENT = 10
 #: A host is dropped when its shrunk failure rate for any rule is above this.
 HOST_LIMIT = 0.9
 
@@ -85,14 +87,19 @@ def rule_failures(m: Column) -> dict[str, Column]:
     }
 
 
-def host_verdicts(checked: DataFrame, host: str, metrics: str, limit: float = HOST_LIMIT) -> DataFrame:
+def junk(m: Column) -> Column:
+    """Whether symbols crowd the text (beyond the rules of the table's ``kept``)."""
+    return 100 * m["n_symbols"] > MAX_SYMBOL_PERCENT * m["word_chars"]
+
+
+def host_verdicts(checked: DataFrame, host: str, metrics: str, limit: float = HOST_LIMIT, rules: dict[str, Column] | None = None) -> DataFrame:
     """(host, host_docs, host_rate, host_ok) from rows with a ``text_metrics`` struct.
 
     host_rate is the largest shrunk rate over the rules. The prior of a rule has
     the mean and variance of the hosts' raw rates; without variance (one host, or
     all alike) it weighs as much as one document.
     """
-    rules = rule_failures(F.col(metrics))
+    rules = rules or rule_failures(F.col(metrics))
     hosts = checked.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(
         F.count(F.lit(1)).alias("host_docs"), *(F.sum(x.cast("long")).alias(f"k_{r}") for r, x in rules.items())
     )
@@ -126,12 +133,16 @@ def quality_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns as they were."""
+    """The rows of ``docs`` that pass, with all their columns as they were.
+
+    Crowds of symbols fail a document here, and count as failures of its host.
+    """
     m, key = fresh(docs, "quality_metrics"), fresh(docs, "quality_host")
     checked = docs.withColumn(m, text_metrics(F.col(text))).withColumn(key, F.coalesce(F.col(host), F.lit("")))
     small = staged(checked.select(F.struct(*(F.col(m)[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "base_failed"))).alias("m"), F.col(key).alias("host")), "metrics")
-    bad = host_verdicts(small, "host", "m", limit).where(~F.col("host_ok")).select(F.col("host").alias(key))
-    good = checked.where(~F.col(m)["base_failed"]).join(bad, key, "left_anti")
+    rules = rule_failures(F.col("m")) | {"symbols": junk(F.col("m"))}
+    bad = host_verdicts(small, "host", "m", limit, rules).where(~F.col("host_ok")).select(F.col("host").alias(key))
+    good = checked.where(~F.col(m)["base_failed"] & ~junk(F.col(m))).join(bad, key, "left_anti")
     return good.select(*docs.columns)
 
 
