@@ -18,3 +18,39 @@ def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, f"http://h/{i}", '<div class="x1">The same text</div><p>More of it</p>') for i in range(8)]
     out = site_style.extract(spark.createDataFrame(rows, COLUMNS)).collect()
     assert all(r.text == "The same text\n\nMore of it" for r in out)
+
+
+def site(rows, spark, **switches):
+    return {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, COLUMNS), **switches).collect()}
+
+
+def test_the_tree_decides_without_the_evidence_of_names(spark):
+    page = '<div class="qa"><a>home</a><a>two {0}</a></div><div class="qb"><p>{1}</p><p>{2}</p></div><div class="qc">Call {0}</div>'
+    words = lambda i, k: " ".join(f"w{(i * 31 + k * 7 + j * j) % 97}" for j in range(40))
+    rows = [(i, f"http://h/{i}", page.format(i, words(i, 1), words(i, 2))) for i in range(9)]
+    want = {i: f"{words(i, 1)}\n\n{words(i, 2)}" for i in range(9)}
+    assert site(rows, spark) == site(rows, spark, evidence=False) == want
+    assert site(rows, spark, tree=False) != want
+
+
+def test_a_name_around_the_main_text_does_not_cut_it(spark):
+    page = '<div class="with-sidebar"><div class="text1"><p>{0}</p></div><div class="sidebar">one two {1}</div></div>'
+    rows = [(i, f"http://h/{i}", page.format(" ".join(f"a{i}b{j}" for j in range(50)), i)) for i in range(9)]
+    assert all(text.startswith(f"a{i}b0 ") and "one two" not in text for i, text in site(rows, spark).items())
+
+
+def test_deep_pages_take_memory_by_their_length(spark):
+    import tracemalloc
+
+    source = "<div>x" * 100_000
+    tracemalloc.start()
+    page = site_style.Page(source)
+    assert len(page.blocks) == 100_000 and tracemalloc.get_traced_memory()[1] < 200 * len(source)
+    tracemalloc.stop()
+    assert site_style.main_text(page).count("x") == 100_000
+
+
+def test_very_long_page_and_repeated_rows(spark):
+    long = "<article>" + "<p>words of a long page</p>" * 20_000 + "</article>"
+    out = site_style.extract(spark.createDataFrame([(1, "u", long), (1, "u", long), (None, None, "<p>a")], COLUMNS)).collect()
+    assert sorted(r.n_chars for r in out) == [1, 20_000 * 22 - 2, 20_000 * 22 - 2]
