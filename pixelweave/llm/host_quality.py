@@ -1,9 +1,14 @@
 """Quality rules with host-level verdicts (built-in column functions only).
 
-Each document is held against simple rules. Failures are counted by host, the
-rates of hosts are shrunk towards the corpus by an empirical beta prior (fitted
-by moments over all hosts), and a host whose shrunk rate passes a limit loses
-all its documents: a host of two bad pages is not judged like one of two million.
+Each document is held against simple rules. Failures are counted by host, and the
+rates of hosts are shrunk towards the corpus by an empirical beta prior (fitted by
+moments over all hosts): a host of two bad pages is not judged like one of two million.
+Host verdicts come back to documents in two ways:
+
+* a host's limit for symbols in a text is stricter the more often its documents fail
+  by symbols, and laxer the less often (by at most half and double);
+* a host whose posterior rate of some rule is surely above ``HOST_LIMIT`` (by two
+  standard deviations) loses all its documents.
 """
 
 from __future__ import annotations
@@ -11,17 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.functions.staging import fresh, staged
+from pixelweave.functions.staging import staged
 from pixelweave.llm.text import SPACES, let, words
 
 #: Symbols that mark junk when they crowd a text.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Symbols to a hundred word characters that ``keep_good`` allows.
-MAX_SYMBOL_PERCENT = 10
-#: A host is dropped when its shrunk failure rate for any rule is above this.
-HOST_LIMIT = 0.9
+#: Symbols to a hundred word characters that a document of an ordinary host may have, and the ends of what a host's verdict makes of it.
+SYMBOL_PERCENT, LEAST_SYMBOL_PERCENT, MOST_SYMBOL_PERCENT = 10.0, 5.0, 20.0
+#: A host is dropped when its rate of failing some rule is above this, but for two standard deviations.
+HOST_LIMIT, SURE = 0.5, 2.0
 
 
 def _repeat_words(w: Column) -> Column:
@@ -52,27 +57,29 @@ def _repeat_words(w: Column) -> Column:
     )
 
 
-def _dup_lines(text: Column) -> Column:
+def _lines(text: Column) -> Column:
+    """Struct of the number of lines with a word, and of those equal to an earlier one."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    return let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
 
 
 def text_metrics(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) and base_failed."""
+    """Struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (all long) and base_failed."""
     text = F.coalesce(text, F.lit(""))
     counts = let(
         words(text),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")),
     )
     return let(
-        counts,
+        F.struct(counts.alias("w"), _lines(text).alias("l")),
         lambda c: F.struct(
-            c["n_words"].alias("n_words"),
+            c["w"]["n_words"].alias("n_words"),
             F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            _dup_lines(text).alias("n_dup_lines"),
-            c["n_repeat_words"].alias("n_repeat_words"),
-            ((c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])).alias("base_failed"),
+            c["l"]["n"].alias("n_lines"),
+            c["l"]["dup"].alias("n_dup_lines"),
+            c["w"]["n_repeat_words"].alias("n_repeat_words"),
+            ((c["w"]["n_words"] < MIN_WORDS) | (100 * c["w"]["n_repeat_words"] > MAX_REPEAT_PERCENT * c["w"]["n_words"])).alias("base_failed"),
         ),
     )
 
@@ -80,43 +87,48 @@ def text_metrics(text: Column) -> Column:
 def rule_failures(m: Column) -> dict[str, Column]:
     """The rules whose failures are counted by host, over a struct of ``text_metrics``."""
     return {
-        "base": m["base_failed"],
         "short": m["n_words"] < MIN_WORDS,
         "repeats": 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"],
-        "symbols": 2 * m["n_symbols"] > m["word_chars"],
+        "symbols": 100 * m["n_symbols"] > SYMBOL_PERCENT * m["word_chars"],
+        "lines": 2 * m["n_dup_lines"] > m["n_lines"],
     }
 
 
-def junk(m: Column) -> Column:
-    """Whether symbols crowd the text (beyond the rules of the table's ``kept``)."""
-    return 100 * m["n_symbols"] > MAX_SYMBOL_PERCENT * m["word_chars"]
-
-
-def host_verdicts(checked: DataFrame, host: str, metrics: str, limit: float = HOST_LIMIT, rules: dict[str, Column] | None = None) -> DataFrame:
-    """(host, host_docs, host_rate, host_ok) from rows with a ``text_metrics`` struct.
+def host_verdicts(checked: DataFrame, host: str, metrics: str, limit: float = HOST_LIMIT) -> DataFrame:
+    """(host, host_docs, host_rate, symbol_percent, host_ok) from rows with a ``text_metrics`` struct.
 
     host_rate is the largest shrunk rate over the rules. The prior of a rule has
     the mean and variance of the hosts' raw rates; without variance (one host, or
-    all alike) it weighs as much as one document.
+    all alike) it weighs as much as one document. symbol_percent is the host's own
+    limit: the ordinary one times the prior's mean over the host's shrunk rate.
     """
-    rules = rules or rule_failures(F.col(metrics))
+    rules = rule_failures(F.col(metrics))
     hosts = checked.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(
         F.count(F.lit(1)).alias("host_docs"), *(F.sum(x.cast("long")).alias(f"k_{r}") for r, x in rules.items())
     )
     hosts = staged(hosts, "hosts")
     rate = {r: F.col(f"k_{r}") / F.col("host_docs") for r in rules}
     moments = hosts.agg(*(x for r in rules for x in (F.avg(rate[r]).alias(f"m_{r}"), F.var_pop(rate[r]).alias(f"v_{r}")))).first()
-    shrunk = []
+    shrunk, low = {}, []
     for r in rules:
         mean, var = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0
         weight = min(1e9, max(1.0, mean * (1 - mean) / var - 1)) if var > 1e-12 else 1.0
-        shrunk.append((F.col(f"k_{r}") + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight)))
-    worst = F.greatest(*shrunk)
-    return hosts.select("host", "host_docs", worst.alias("host_rate"), (worst <= limit).alias("host_ok"))
+        p = (F.col(f"k_{r}") + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight))
+        shrunk[r] = p
+        low.append(p - F.lit(SURE) * F.sqrt(p * (1 - p) / (F.col("host_docs") + F.lit(weight + 1))))
+    mean = moments["m_symbols"] or 0.0
+    own = F.when(shrunk["symbols"] > 0, SYMBOL_PERCENT * mean / shrunk["symbols"]).otherwise(SYMBOL_PERCENT)
+    percent = F.least(F.lit(MOST_SYMBOL_PERCENT), F.greatest(F.lit(LEAST_SYMBOL_PERCENT), own))
+    return hosts.select("host", "host_docs", F.greatest(*shrunk.values()).alias("host_rate"), percent.alias("symbol_percent"), (F.greatest(*low) <= limit).alias("host_ok"))
+
+
+def _passes(m: Column) -> Column:
+    """The verdict on a document with its host's columns."""
+    return ~m["base_failed"] & F.col("host_ok") & (100 * m["n_symbols"] <= F.col("symbol_percent") * m["word_chars"])
 
 
 def quality_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Per document: doc_id, host, the metrics, base_failed, host_rate, kept.
+    """Per document: doc_id, host, the metrics, base_failed, host_docs, host_rate, symbol_percent, host_ok, kept.
 
     Null text is empty and so fails (no words). A null host is the host ''.
     Repeated rows are judged one by one. An empty table gives no rows. Other
@@ -127,29 +139,28 @@ def quality_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
         "metrics",
     )
     verdicts = host_verdicts(checked, "host", "m", limit)
-    return checked.join(verdicts, "host").select(
-        "doc_id", "host", "m.*", "host_docs", "host_rate", (~F.col("m.base_failed") & F.col("host_ok")).alias("kept")
-    )
+    return checked.join(verdicts, "host").select("doc_id", "host", "m.*", "host_docs", "host_rate", "symbol_percent", "host_ok", _passes(F.col("m")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns as they were.
 
-    Crowds of symbols fail a document here, and count as failures of its host.
+    Texts are measured once. Rows that no host's verdict could save are counted
+    for their host and not carried further. Nulls, empty tables and repeated rows
+    as in ``quality_table``; columns may have any names.
     """
-    m, key = fresh(docs, "quality_metrics"), fresh(docs, "quality_host")
-    checked = docs.withColumn(m, text_metrics(F.col(text))).withColumn(key, F.coalesce(F.col(host), F.lit("")))
-    small = staged(checked.select(F.struct(*(F.col(m)[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "base_failed"))).alias("m"), F.col(key).alias("host")), "metrics")
-    rules = rule_failures(F.col("m")) | {"symbols": junk(F.col("m"))}
-    bad = host_verdicts(small, "host", "m", limit, rules).where(~F.col("host_ok")).select(F.col("host").alias(key))
-    good = checked.where(~F.col(m)["base_failed"] & ~junk(F.col(m))).join(bad, key, "left_anti")
-    return good.select(*docs.columns)
+    m = text_metrics(F.col(text))
+    measured = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(host), F.lit("")).alias("host"), m.alias("m"))
+    hopeless = F.col("m.base_failed") | (100 * F.col("m.n_symbols") > MOST_SYMBOL_PERCENT * F.col("m.word_chars"))
+    checked = staged(measured.select(F.when(~hopeless, F.col("row")).alias("row"), "host", "m"), "metrics")
+    verdicts = host_verdicts(checked, "host", "m", limit)
+    return checked.where("row IS NOT NULL").join(verdicts, "host").where(_passes(F.col("m"))).select("row.*")
 
 
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_table(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", F.round("host_rate", 6).alias("host_rate")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", F.round("host_rate", 6).alias("host_rate"), F.round("symbol_percent", 6).alias("symbol_percent")
     )
 
 
@@ -162,19 +173,22 @@ dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) A
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY rid),
 lines AS (SELECT rid, line FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t)
           WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
+dl AS (SELECT rid, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
 m AS (SELECT w.rid, doc_id, host, len(w) AS n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-             coalesce(dl.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+             coalesce(dl.lines, 0) AS n_lines, coalesce(dl.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
       FROM w LEFT JOIN dl USING (rid) LEFT JOIN cov USING (rid)),
 f AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM m),
 r AS (SELECT host, rule, count(*) AS n, sum(bad::BIGINT) AS k FROM (
-        SELECT host, unnest(['base', 'short', 'repeats', 'symbols']) AS rule,
-               unnest([base_failed, n_words < {MIN_WORDS}, 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words, 2 * n_symbols > word_chars]) AS bad
+        SELECT host, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule,
+               unnest([n_words < {MIN_WORDS}, 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words, 100 * n_symbols > {SYMBOL_PERCENT} * word_chars, 2 * n_dup_lines > n_lines]) AS bad
         FROM f) GROUP BY host, rule),
 p AS (SELECT rule, avg(k / n) AS mean, var_pop(k / n) AS var FROM r GROUP BY rule),
 q AS (SELECT rule, mean, CASE WHEN var > 1e-12 THEN least(1e9, greatest(1.0, mean * (1 - mean) / var - 1)) ELSE 1.0 END AS weight FROM p),
-h AS (SELECT host, max(n) AS host_docs, max((k + mean * weight) / (n + weight)) AS host_rate FROM r JOIN q USING (rule) GROUP BY host)
+s AS (SELECT host, rule, n, mean, (k + mean * weight) / (n + weight) AS rate, n + weight + 1 AS size FROM r JOIN q USING (rule)),
+h AS (SELECT host, max(n) AS host_docs, max(rate) AS host_rate, max(rate - {SURE} * sqrt(rate * (1 - rate) / size)) <= {HOST_LIMIT} AS host_ok,
+             least({MOST_SYMBOL_PERCENT}, greatest({LEAST_SYMBOL_PERCENT}, max(CASE WHEN rule <> 'symbols' THEN NULL WHEN rate > 0 THEN {SYMBOL_PERCENT} * mean / rate ELSE {SYMBOL_PERCENT} END))) AS symbol_percent
+      FROM s GROUP BY host)
 """
 
 
@@ -187,6 +201,7 @@ QUERIES = {"op4_host_quality": op4_host_quality}
 SQL = {
     "op4_host_quality": f"""WITH {metrics_sql("documents")}
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words, base_failed, (NOT base_failed AND host_rate <= {HOST_LIMIT}) AS kept, host_docs, round(host_rate, 6) AS host_rate
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, (NOT base_failed AND host_ok AND 100 * n_symbols <= symbol_percent * word_chars) AS kept, host_docs, round(host_rate, 6) AS host_rate,
+       round(symbol_percent, 6) AS symbol_percent
 FROM f JOIN h USING (host)"""
 }
