@@ -32,8 +32,8 @@ THRESHOLD = 80
 #: Slots of a signature; 40 bands of 6 find a pair of similarity 0.8 but for 5 in a million.
 BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
-#: A pair whose estimate is this far below the threshold (over four standard errors) isn't verified.
-MARGIN = 0.10
+#: A pair whose estimate is this far below the threshold (five standard errors) isn't verified.
+MARGIN = 0.135
 #: Shingle elements that are worked on together, and words whose hashes a worker remembers.
 _ELEMENTS, _REMEMBERED = 200_000, 500_000
 
@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # the sets of all that share a bucket, from one more pass over the texts
     wanted = members.select("rep").distinct()
     first = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("text"))
-    sets = staged(_sets(first.join(wanted, "rep", "left_semi"), k), "sets").dropDuplicates(["rep"])
+    # rows of one id with different texts are all there, and a link of any of them counts
+    sets = staged(_sets(first.join(wanted, "rep", "left_semi"), k), "sets")
     links = staged(_verified(star, sets, threshold), "links")
     roots = components(links)
 
