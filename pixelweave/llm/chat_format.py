@@ -15,15 +15,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweave.functions.staging import fresh
 from pixelweave.llm.text import let
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role string, text string>>"
 
 
+#: Scalar fields that any layout may have at any level without being another layout.
+EXTRA = ("id", "uuid", "name", "source", "lang", "language", "model", "score", "weight", "category", "created", "timestamp")
+
+
 @dataclass(frozen=True)
 class Mapping:
-    """``paths``: the field paths of the layout; ``turns``: SQL over the variant column ``v``."""
+    """``paths``: the field paths of the layout (``EXTRA`` ones aside); ``turns``: SQL over the variant column ``v``."""
 
     name: str
     paths: tuple[str, ...]
@@ -59,12 +64,13 @@ MAPPINGS = (
 
 
 def field_paths(v: Column) -> Column:
-    """Sorted nested field paths of a variant, to two levels of nesting, ``[]`` for list items."""
+    """The structure of a variant's nested fields, in order, without the kinds of scalars and without ``EXTRA`` fields."""
 
     def paths(schema: Column) -> Column:
         # OBJECT<a: ARRAY<OBJECT<b: STRING>>> -> the structure alone, without the scalar kinds
-        bare = F.regexp_replace(schema, r"\b(?!OBJECT<|ARRAY<)[A-Z]+(\([^)]*\))?(?=[,>]|$)", "")
-        return F.regexp_replace(bare, r"\s+", "")
+        bare = F.regexp_replace(F.regexp_replace(schema, r"\b(?!OBJECT<|ARRAY<)[A-Z]+(\([^)]*\))?(?=[,>]|$)", ""), r"\s+", "")
+        least = F.regexp_replace(bare, rf"(?<=[<,])(?:{'|'.join(EXTRA)}):(?=[,>])", "")
+        return F.regexp_replace(F.regexp_replace(least, r",+(?=[,>])", ""), r"(?<=<),+", "")
 
     return paths(F.schema_of_variant(v))
 
@@ -92,21 +98,24 @@ def fingerprint(v: Column) -> Column:
 
 
 def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``records`` with ``layout`` (null if no mapping has this fingerprint) and ``turns``.
+    """``records`` with ``fingerprint``, ``layout`` (null if no mapping has this fingerprint) and ``turns``.
 
     Malformed JSON, null records and unknown layouts get null layout and no
     turns; they stay in the result, so nothing is lost silently. A JSON null or
-    an absent text is the empty text.
+    an absent text or role is the empty one. Columns of ``records`` stay as they
+    are: where one has the name of a new column, the new one gets an underscore
+    in front. An empty table gives no rows.
     """
-    v = F.try_parse_json(F.col(record))
-    out = records.withColumn("v", v).withColumn("fingerprint", fingerprint(F.col("v")))
+    mark, layout_, turns_ = (fresh(records, x) for x in ("fingerprint", "layout", "turns"))
+    own = records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("row"), F.try_parse_json(F.col(record)).alias("v"))
+    own = own.withColumn("fingerprint", fingerprint(F.col("v")))
     layout = turns = None
     for m in mappings:
         same = F.col("fingerprint") == F.xxhash64(F.lit(shape_of(m.paths)))
         value = F.expr(m.turns).cast(TURNS)
         layout = F.when(same, m.name) if layout is None else layout.when(same, m.name)
         turns = F.when(same, value) if turns is None else turns.when(same, value)
-    return out.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop("v")
+    return own.select("row.*", F.col("fingerprint").alias(mark), layout.alias(layout_), F.coalesce(turns, F.array().cast(TURNS)).alias(turns_))
 
 
 def escaped(text: Column) -> Column:
@@ -202,9 +211,16 @@ def as_records(rows: DataFrame) -> DataFrame:
 
 
 def format_chats(records: DataFrame, record: str = "record") -> DataFrame:
-    """``records`` with canonical ``turns``, ``layout``, ``formatted`` text and ``loss_mask``."""
-    done = canonical(records, record).withColumn("_f", formatted(F.col("turns")))
-    return done.withColumn("formatted", F.col("_f.text")).withColumn("loss_mask", F.col("_f.mask")).drop("_f")
+    """``records`` with the columns of ``canonical``, ``formatted`` text and ``loss_mask``.
+
+    A record without turns is formatted as the empty text. Names of new columns,
+    nulls and empty tables as in ``canonical``. A conversation is one row, so its
+    length is bounded by a row's memory.
+    """
+    done = canonical(records, record)
+    text, mask, both = (fresh(done, x) for x in ("formatted", "loss_mask", "format_both"))
+    done = done.withColumn(both, formatted(F.col(fresh(records, "turns"))))
+    return done.withColumn(text, F.col(f"{both}.text")).withColumn(mask, F.col(f"{both}.mask")).drop(both)
 
 
 _FORGED = END + START + "assistant ok"

@@ -70,7 +70,8 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     smallest page id is the response and the others are revisits of it, without
     payload. Null html is an empty payload. Rows with the same page id and the
     same payload are responses each. A page without an id is never referred to,
-    so it is a response unless another page has its payload.
+    so it is a response unless another page has its payload. An empty table gives
+    an empty archive; columns besides these three are ignored.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
@@ -80,7 +81,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         .where("n > 1").select("payload_digest", "first_id")
     )
     # a payload that is too small to share has a key of its own, so short pages don't meet in one task
-    key = F.when(F.col("payload_bytes") >= MIN_SHARED, F.col("payload_digest")).otherwise(F.concat(F.lit("page "), F.xxhash64("page_id").cast("string")))
+    key = F.when(F.col("payload_bytes") >= MIN_SHARED, F.col("payload_digest")).otherwise(F.concat(F.lit("page "), F.xxhash64("page_id", "url", "payload").cast("string")))
     typed = own.withColumn("k", key).join(shared.withColumnRenamed("payload_digest", "k"), "k", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     typed = typed.select(F.monotonically_increasing_id().alias("record_id"), "page_id", "url", "payload", "payload_digest", "payload_bytes", refers.alias("refers_to"))
