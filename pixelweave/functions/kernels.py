@@ -66,28 +66,14 @@ def kuwahara(a: np.ndarray, radius: int = 2) -> np.ndarray:
         raise ValueError("radius is at least 0")
     if radius == 0:
         return a.astype(float)
-    padded = np.pad(a.astype(float), radius, mode="reflect")
-    n = radius + 1
-
-    def means(x: np.ndarray) -> np.ndarray:
-        for axis in range(x.ndim):
-            total = np.cumsum(x, axis=axis)
-            total = np.concatenate([np.zeros_like(np.take(total, [0], axis)), total], axis)
-            size = x.shape[axis] - n + 1
-            x = (np.take(total, range(n, n + size), axis) - np.take(total, range(size), axis)) / n
-        return x
-
-    mean, square = means(padded), means(padded**2)
-    spread = np.clip(square - mean**2, 0, None)
-    best = var = None
-    for corner in itertools.product((0, radius), repeat=a.ndim):
-        window = tuple(slice(c, c + s) for c, s in zip(corner, a.shape, strict=True))
-        if best is None:
-            best, var = mean[window].copy(), spread[window].copy()
-        else:
-            better = spread[window] < var
-            best[better], var[better] = mean[window][better], spread[window][better]
-    return best
+    # every window of radius + 1 along each axis; a pixel's corner windows begin radius before it or at it
+    inner = tuple(range(-a.ndim, 0))
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(a.astype(float), radius, mode="reflect"), (radius + 1,) * a.ndim)
+    means, spreads = windows.mean(axis=inner), windows.var(axis=inner)
+    corners = [tuple(slice(b, b + s) for b, s in zip(begin, a.shape, strict=True)) for begin in itertools.product((0, radius), repeat=a.ndim)]
+    # to nine digits, as windows of one content in another place are equal
+    calm = np.stack([np.round(spreads[c], 9) for c in corners]).argmin(axis=0)
+    return np.take_along_axis(np.stack([means[c] for c in corners]), calm[None], 0)[0]
 
 
 def bilateral(a: np.ndarray, sigma_color: float = 0.1, sigma_spatial: float = 1.0, radius: int | None = None) -> np.ndarray:
@@ -201,7 +187,7 @@ def non_local_means(a: np.ndarray, patch_size: int = 7, patch_distance: int = 11
     """For each shift once: squared differences, their box mean over the patch, and the weight."""
     a = a.astype(float)
     reach = patch_distance
-    padded, total, weight = np.pad(a, reach, mode="reflect" if min(a.shape) > reach else "symmetric"), np.zeros(a.shape), np.zeros(a.shape)
+    padded, total, weight = np.pad(a, reach, mode="symmetric"), np.zeros(a.shape), np.zeros(a.shape)
     for o in itertools.product(range(-reach, reach + 1), repeat=a.ndim):
         there = _shifted(padded, o, reach, a.shape)
         far = box_mean((there - a) ** 2, patch_size // 2)
@@ -280,14 +266,14 @@ def hessian_values(a: np.ndarray, sigma: float) -> np.ndarray:
 def scales(sigma_min: float = 1, sigma_max: float = 10, step: float = 2) -> np.ndarray:
     if sigma_min <= 0 or sigma_max < sigma_min or step <= 0:
         raise ValueError(f"bad scales: {sigma_min} to {sigma_max} by {step}")
-    return np.arange(sigma_min, sigma_max + step * 1e-9, step)
+    # the end counts, also where the steps don't meet it
+    return np.arange(sigma_min, sigma_max + step / 2, step)
 
 
-def structure_norms(a: np.ndarray, sigmas: np.ndarray, black_ridges: bool = True) -> tuple[list[float], list[float]]:
-    """Largest structure and largest ridge response of each scale, which the ridge filters divide by."""
-    sign = 1 if black_ridges else -1
-    values = [sign * hessian_values(a, s) for s in sigmas]
-    return [float(np.sqrt((v**2).sum(axis=-1)).max()) for v in values], [float(_neurite(v).max()) for v in values]
+def structure(a: np.ndarray, sigmas: np.ndarray, black_ridges: bool = True) -> list[np.ndarray]:
+    """Structure, then ridge response, of each scale; the ridge filters divide by their largest."""
+    values = [(1 if black_ridges else -1) * hessian_values(a, s) for s in sigmas]
+    return [np.sqrt((v**2).sum(axis=-1)) for v in values] + [_neurite(v) for v in values]
 
 
 def _neurite(values: np.ndarray) -> np.ndarray:
@@ -368,29 +354,40 @@ def crop_centred(a: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
 DELTA = 1e-6
 
 
+class Blur:
+    """Circular convolution of a stack of images with one centred kernel, and its transpose, by real FFTs over the image axes."""
+
+    def __init__(self, kernel: np.ndarray):
+        self.shape, self.axes = kernel.shape, tuple(range(-kernel.ndim, 0))
+        self.transfer = np.fft.rfftn(np.fft.ifftshift(kernel))
+
+    def __call__(self, stack: np.ndarray, transposed: bool = False) -> np.ndarray:
+        transfer = self.transfer.conj() if transposed else self.transfer
+        return np.fft.irfftn(np.fft.rfftn(stack, axes=self.axes) * transfer, s=self.shape, axes=self.axes)
+
+
 def richardson_lucy(image: np.ndarray, psf: np.ndarray, num_iters: int = 10, noncirc: bool = False, mask: np.ndarray | None = None) -> np.ndarray:
-    """Iterative deconvolution; masked pixels count as unseen and come back unchanged."""
+    """Iterative deconvolution of an image, or of a stack of them along a first axis, by a PSF of the image's dimensions.
+
+    Masked pixels count as unseen and come back unchanged. Divisors and estimates stay at ``DELTA`` or above.
+    """
     from pixelweave.operators.psf import next_smooth
 
-    image, psf, shape = image.astype(float), psf.astype(float), image.shape
-    seen = np.ones(shape) if mask is None else mask.astype(float)
-    data, weight = image * seen, seen
-    if noncirc:
-        size = tuple(next_smooth(n + 2 * (p // 2)) for n, p in zip(shape, psf.shape, strict=True))
-    else:
-        size = tuple(map(max, shape, psf.shape))
-    data, weight, psf = pad_centred(data, size), pad_centred(weight, size), pad_centred(psf, size)
-    otf = np.fft.fftn(np.fft.ifftshift(psf))
-    blur = lambda x, f: np.fft.ifftn(np.fft.fftn(x) * f).real
-    norm = blur(weight, otf.conj())
-    norm[norm < DELTA] = 1.0
-    estimate = np.full(size, data.mean())
+    dims = psf.ndim
+    stack = image.astype(float).reshape(-1, *image.shape[-dims:])
+    seen = np.ones(stack.shape) if mask is None else np.broadcast_to(mask.astype(float), image.shape).reshape(stack.shape)
+    extent = stack.shape[1:]
+    size = tuple(next_smooth(n + 2 * (p // 2)) if noncirc else max(n, p) for n, p in zip(extent, psf.shape, strict=True))
+    blur, frame = Blur(pad_centred(psf.astype(float), size)), (len(stack), *size)
+    observed, share = pad_centred(stack * seen, frame), blur(pad_centred(seen, frame), transposed=True)
+    gain = 1.0 / np.where(share < DELTA, 1.0, share)
+
+    def positive(x: np.ndarray, least: float) -> np.ndarray:
+        return np.where(x < least, DELTA, x)
+
+    guess = np.broadcast_to(observed.mean(axis=blur.axes, keepdims=True), frame)
     for _ in range(num_iters):
-        again = blur(estimate, otf)
-        again[again < DELTA] = DELTA
-        push = blur(data / again, otf.conj())
-        push[push < 0] = DELTA
-        estimate = estimate * push / norm
-        estimate[estimate < 0] = DELTA
-    out = crop_centred(estimate, shape)
-    return out if mask is None else out * seen + image * (1 - seen)
+        excess = observed / positive(blur(guess), DELTA)
+        guess = positive(guess * gain * positive(blur(excess, transposed=True), 0.0), 0.0)
+    out = crop_centred(guess, stack.shape)
+    return (out if mask is None else np.where(seen > 0, out * seen + stack * (1 - seen), stack)).reshape(image.shape)

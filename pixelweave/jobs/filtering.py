@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -97,6 +99,71 @@ for _i, (_kind, _shape) in enumerate((("erosion", "ball"), ("dilation", "diamond
     _sql += {5: _join.format(v="(p.value - b.value)"), 6: _join.format(v="(b.value - p.value)")}.get(_i, _FROM.format(v="value", t="a" if _i < 3 else "b"))
     _add(f"P{_i}_{_kind}", lambda x, kind=_kind, shape=_shape: filters.morphology(x, kind, 2, shape), _sql)
 
+# ---- the same on volumes of 7 x 32 x 32, in parts that exercise the halo along y and x
+
+PART_3D = 20
+
+
+def _volumes(spark, sf_dir):
+    return d.vol(spark, sf_dir).withColumn("z", F.col("z") - 1)
+
+
+def _add_3d(name: str, fn, sql: str) -> None:
+    def run(spark, sf_dir):
+        out = t.from_tiles(fn(t.to_tiles(_volumes(spark, sf_dir), PART_3D, volume=True)))
+        return out.withColumn("value", F.round("value", 6) + 0.0)
+
+    QUERIES[name] = run
+    SQL[name] = d.with_sql("vol", ", v AS MATERIALIZED (SELECT image_id, z - 1 AS z, y, x, value FROM vol)" + sql)
+
+
+def _taps_3d(*lines: np.ndarray) -> list[tuple]:
+    return [(*(i - len(t_) // 2 for i, t_ in zip(at, lines, strict=True)), float(np.prod([t_[i] for i, t_ in zip(at, lines, strict=True)]))) for at in itertools.product(*(range(len(t_)) for t_ in lines))]
+
+
+def _join_3d(name: str, how: str, taps: list[tuple], place: dict[str, str] | None, source: str = "v") -> str:
+    rows = ", ".join(f"({dz}, {dy}, {dx}, {w!r}::DOUBLE)" for dz, dy, dx, w in taps if w)
+    there = ", ".join((place[c].format(v=f"(p.{c} + d{c})") if place else f"p.{c} + d{c}") + f" AS n{c}" for c in "zyx")
+    return f""", {name}_at AS MATERIALIZED (SELECT p.image_id, p.z, p.y, p.x, w, {there} FROM {source} p CROSS JOIN (VALUES {rows}) t(dz, dy, dx, w)),
+{name} AS (SELECT p.image_id, p.z, p.y, p.x, {how} AS value FROM {name}_at p
+  JOIN {source} q ON q.image_id = p.image_id AND q.z = p.nz AND q.y = p.ny AND q.x = p.nx GROUP BY p.image_id, p.z, p.y, p.x)"""
+
+
+_TOP = {"z": 6, "y": 31, "x": 31}
+_CLAMP = {c: f"greatest(0, least({m}, {{v}}))" for c, m in _TOP.items()}
+_MIRROR = {c: f"CASE WHEN {{v}} < 0 THEN -1 - {{v}} WHEN {{v}} > {m} THEN {2 * m + 1} - {{v}} ELSE {{v}} END" for c, m in _TOP.items()}
+_SUM, _OUT_3D = "sum(p.w * q.value)", " SELECT image_id, z, y, x, round({v}, 6) + 0.0::DOUBLE AS value FROM {t}"
+_soft = k.gaussian_taps(0.5)
+_near = [(*o, 1.0) for o in k.offsets(1, 3)]
+_add_3d("F1_gaussian_3d", lambda x: filters.gaussian(x, 0.5), _join_3d("g", _SUM, _taps_3d(_soft, _soft, _soft), _CLAMP) + _OUT_3D.format(v="value", t="g"))
+_add_3d("F2_median_3d", filters.median, _join_3d("g", "median(q.value)", _near, _CLAMP) + _OUT_3D.format(v="value", t="g"))
+_add_3d("F3_mean_3d", filters.mean, _join_3d("g", _SUM, _taps_3d(_third, _third, _third), _MIRROR) + _OUT_3D.format(v="value", t="g"))
+for _i, _kind in enumerate(("sobel", "scharr", "prewitt"), 1):
+    _s = np.array(k.SMOOTH[_kind])
+    _sql = "".join(_join_3d(f"g{c}", _SUM, _taps_3d(*(_slope if c == a else _s for a in "zyx")), _MIRROR) for c in "zyx")
+    _root = "sqrt((gz.value * gz.value + gy.value * gy.value + gx.value * gx.value) / 3)"
+    _add_3d(f"E{_i}_{_kind}_3d", lambda x, kind=_kind: filters.edges(x, kind), _sql + f" SELECT image_id, z, y, x, round({_root}, 6) + 0.0::DOUBLE AS value FROM gz JOIN gy USING (image_id, z, y, x) JOIN gx USING (image_id, z, y, x)")
+_star = [(0, 0, 0, 6.0), *((*o, -1.0) for o in k.offsets(1, 3) if any(o))]
+_add_3d("E6_laplace_3d", filters.laplace, _join_3d("g", _SUM, _star, _MIRROR) + _OUT_3D.format(v="value", t="g"))
+_fine = k.gaussian_taps(0.3)
+_sql = _join_3d("a", _SUM, _taps_3d(_fine, _fine, _fine), _CLAMP) + _join_3d("b", _SUM, _taps_3d(_soft, _soft, _soft), _CLAMP)
+_add_3d("E7_difference_of_gaussians_3d", lambda x: filters.difference_of_gaussians(x, 0.3, 0.5), _sql + " SELECT image_id, z, y, x, round(a.value - b.value, 6) + 0.0::DOUBLE AS value FROM a JOIN b USING (image_id, z, y, x)")
+_add_3d("E8_unsharp_3d", lambda x: filters.unsharp(x, 0.5), _join_3d("g", _SUM, _taps_3d(_soft, _soft, _soft), _CLAMP) + " SELECT image_id, z, y, x, round(2 * v.value - g.value, 6) + 0.0::DOUBLE AS value FROM v JOIN g USING (image_id, z, y, x)")
+for _i, (_kind, _shape) in enumerate((("erosion", "ball"), ("dilation", "box"), ("opening", "ball"), ("closing", "diamond"), ("white_tophat", "box"), ("black_tophat", "ball")), 1):
+    _hows = ("max(q.value)", "min(q.value)") if _kind in ("dilation", "closing", "black_tophat") else ("min(q.value)", "max(q.value)")
+    _at = [(*o, 1.0) for o in k.offsets(1, 3, _shape)]
+    _sql = _join_3d("a", _hows[0], _at, None) + (_join_3d("b", _hows[1], _at, None, "a") if _i > 2 else "")
+    _last = {5: "v.value - b.value", 6: "b.value - v.value"}.get(_i, "a.value" if _i < 3 else "b.value")
+    _sql += f" SELECT image_id, z, y, x, {_last} + 0.0::DOUBLE AS value FROM v JOIN {'a' if _i < 3 else 'b'} USING (image_id, z, y, x)"
+    _add_3d(f"P{_i}_{_kind}_3d", lambda x, kind=_kind, shape=_shape: filters.morphology(x, kind, 1, shape), _sql)
+
+
+def _ridges_3d(kind: str):
+    return lambda s, p: t.from_tiles(filters.ridges(t.to_tiles(_volumes(s, p), volume=True), kind, 1, 2, 1))
+
+
+QUERIES |= {f"E{i}_{kind}_3d": _ridges_3d(kind) for i, kind in ((9, "frangi"), (10, "sato"), (11, "meijering"))}
+
 QUERIES["S2_table"] = lambda s, p: t.round_trip(d.px8(s, p), "px8")
 SQL["S2_table"] = d.with_sql("px8", "SELECT * FROM px8")
 QUERIES["S4_tiles"] = lambda s, p: t.from_tiles(t.to_tiles(d.vol(s, p), 20))

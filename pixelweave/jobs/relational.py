@@ -129,8 +129,8 @@ c AS (SELECT *, count(*) OVER w AS n, min(z) OVER w AS root_axis FROM g WINDOW w
 SELECT image_id, z, label, root_axis, label AS root_label FROM c WHERE n > 1""")
 _add("L6_boxes", lambda s, p: labels.boxes_from_labels(d.disc_stack(s, p), ["image_id", "z"]), "disc_stack",
      "SELECT image_id, z, label, min(y) AS min_y, min(x) AS min_x, max(y) + 1 AS max_y, max(x) + 1 AS max_x FROM disc_stack GROUP BY ALL")
-_add("L7_masks", lambda s, p: labels.masks_from_labels(d.disc_stack(s, p).where("z = 1").drop("z")), "disc_stack",
-     "SELECT image_id, (dense_rank() OVER (PARTITION BY image_id ORDER BY label) - 1)::INT AS mask_id, y, x FROM disc_stack WHERE z = 1")
+_add("L7_masks", lambda s, p: labels.masks_from_labels(d.disc_stack(s, p).withColumn("image_id", F.col("image_id") * 4 + F.col("z")).drop("z")), "disc_stack",
+     "SELECT image_id * 4 + z AS image_id, (dense_rank() OVER (PARTITION BY image_id, z ORDER BY label) - 1)::INT AS mask_id, y, x FROM disc_stack")
 _add("L8_counts", lambda s, p: labels.object_counts(d.disc_stack(s, p), ["image_id", "z"]), "disc_stack", "SELECT image_id, z, count(DISTINCT label) AS objects FROM disc_stack GROUP BY ALL")
 _add("L9_statistics", lambda s, p: labels.object_statistics(d.disc_stack(s, p)).withColumns({"mean_area": r6("mean_area"), "std_area": r6("std_area")}), "disc_stack",
      """, a AS (SELECT image_id, label, count(*) AS area FROM disc_stack GROUP BY ALL)

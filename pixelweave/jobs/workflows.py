@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,24 +15,50 @@ from pixelweave.sources import derived as d
 from pixelweave.sources import tiles as t
 
 
-def connect_2d_in_3d(pixels: DataFrame, method: str = "otsu", link_threshold: float = 0.1, criterion: str = "iou") -> tuple[DataFrame, DataFrame]:
-    """Normalise each volume as a whole, find objects plane by plane, and link them through z. (normalized, labels)"""
-    normalized = intensity.normalize_percentile(pixels)
-    found = threshold.threshold(normalized, method, ["image_id", "z"], integer=False)
-    return normalized, labels.connect(axes.renumber(found), "z", link_threshold, criterion)
+def otsu_planes(pixels: DataFrame) -> DataFrame:
+    """Objects above Otsu's cut of each plane, the segmenter that needs no model."""
+    return threshold.threshold(pixels, "otsu", ["image_id", "z"], integer=False)
+
+
+def connect_2d_in_3d(
+    pixels: DataFrame, normalizer: Callable = intensity.normalize_percentile, segmenter: Callable = otsu_planes, connector: Callable = labels.connect,
+    normalizer_args: dict | None = None, segmenter_args: dict | None = None, connector_args: dict | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Normalise each volume as a whole, find objects plane by plane, and link them through z. (normalized, labels)
+
+    Each step is a function of a table and its own arguments: pixels to pixels, pixels
+    to labels by plane, labels with ids of their own on each plane to labels.
+    """
+    normalized = normalizer(pixels, **(normalizer_args or {}))
+    found = segmenter(normalized, **(segmenter_args or {}))
+    return normalized, connector(axes.renumber(found), **(connector_args or {}))
+
 
+def bright_objects(pixels: DataFrame, min_size: int = 4, conf: float = 0.0, iou: float = 0.9, max_det: int = 300) -> DataFrame:
+    """Boxes of bright objects, the detector that needs no model."""
+    return boxes.nms(models.classical_boxes(pixels, min_size), conf, iou, max_det)
 
-def detect_then_mask(pixels: DataFrame, min_size: int = 4, conf: float = 0.0, iou: float = 0.9, max_det: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Boxes of bright objects, and in each box a mask; boxes whose mask is empty go. Nothing found gives no rows."""
-    found = boxes.nms(models.classical_boxes(pixels, min_size), conf, iou, max_det)
-    masked = models.classical_masks(pixels, found)
+
+def detect_then_mask(
+    pixels: DataFrame, detector: Callable = bright_objects, masker: Callable = models.classical_masks, detector_args: dict | None = None, masker_args: dict | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(boxes, masks): a detector's boxes, and in each box a masker's mask; boxes whose mask is empty go. Nothing found gives no rows.
+
+    The masker gets what the detector got and the boxes; one that returns (masks, boxes), as ``models.mask_with`` does, is taken at its word.
+    """
+    found = detector(pixels, **(detector_args or {}))
+    masked = masker(pixels, found, **(masker_args or {}))
+    if isinstance(masked, tuple):
+        return masked[1], masked[0]
     return masks.drop_empty(found, masked), masked
 
 
-def deconvolve_with_psf(tiles: DataFrame, settings: DataFrame, num_iters: int = 10, noncirc: bool = False) -> tuple[DataFrame, DataFrame]:
-    """A Gaussian PSF from (psf_id, xy_dim, xy_sigma), and every plane of ``tiles`` (with psf_id) deconvolved with it."""
-    made = psf.gaussian(settings)
-    return made, richardson_lucy(tiles, made, num_iters, noncirc)
+def deconvolve_with_psf(
+    tiles: DataFrame, settings: DataFrame, psf_op: Callable = psf.gaussian, decon_op: Callable = richardson_lucy, psf_args: dict | None = None, decon_args: dict | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(psf, pixels): a PSF table from its settings, and every plane or volume of ``tiles`` (with psf_id) deconvolved with it."""
+    made = psf_op(settings, **(psf_args or {}))
+    return made, decon_op(tiles, made, **(decon_args or {}))
 
 
 def smooth_threshold_label(tiles: DataFrame, radius: int = 2) -> DataFrame:
@@ -47,12 +75,25 @@ def _tiles(spark, sf_dir, side: int = 8) -> DataFrame:
 
 
 def _with_psf(spark, sf_dir) -> DataFrame:
-    ids = F.array(*map(F.lit, range(4)))
-    return _tiles(spark, sf_dir).withColumn("psf_id", F.element_at(ids, (F.col("image_id") % 4 + 1).cast("int")))
+    # every table has at least 200 parts, and so settings
+    return _tiles(spark, sf_dir).withColumn("psf_id", (F.col("image_id") % 200).cast("int"))
 
 
 def _settings(spark, sf_dir) -> DataFrame:
-    return d.psf_settings(spark, sf_dir).where("psf_id < 4")
+    return d.psf_settings(spark, sf_dir)
+
+
+def _solid(spark, sf_dir) -> DataFrame:
+    """The volumes as tiles of volumes, each with a PSF of three planes or more."""
+    return t.to_tiles(_from_zero(d.vol(spark, sf_dir)), volume=True).withColumn("psf_id", (F.col("image_id") % 200).cast("int"))
+
+
+def _from_zero(volumes: DataFrame) -> DataFrame:
+    return volumes.withColumn("z", F.col("z") - 1)
+
+
+def _solid_settings(spark, sf_dir) -> DataFrame:
+    return _settings(spark, sf_dir).withColumn("z_dim", (F.col("psf_id") % 2 * 2 + 3).cast("int")).withColumn("z_sigma", F.lit(1.0))
 
 
 def _tissue(spark, sf_dir) -> DataFrame:
@@ -91,11 +132,13 @@ QUERIES = {
     "U4_local_masks": lambda s, p: tissue.local_masks(tissue.two_channels(_tissue(s, p), 2, 0), 3),
     "U9_nuclei": lambda s, p: tissue.nuclei(tissue.tissue_masks(_tissue(s, p), 2, 0, 3), 2),
     "W1_connect_2d_in_3d": lambda s, p: connect_2d_in_3d(d.vol(s, p))[1],
-    "W2_detect_then_mask": lambda s, p: detect_then_mask(d.px8(s, p), 2)[0],
-    "W3_deconvolve_with_psf": lambda s, p: deconvolve_with_psf(_with_psf(s, p), _settings(s, p), 5, True)[1],
+    "W2_detect_then_mask": lambda s, p: detect_then_mask(d.px8(s, p), detector_args={"min_size": 2})[0],
+    "W3_deconvolve_with_psf": lambda s, p: deconvolve_with_psf(_with_psf(s, p), _settings(s, p), decon_args={"num_iters": 5, "noncirc": True})[1],
+    "D10_richardson_lucy_3d": lambda s, p: richardson_lucy(_solid(s, p), psf.gaussian(_solid_settings(s, p)), 5),
+    "N1_segment_stack": lambda s, p: models.segment_with(t.to_tiles(d.vol(s, p)), _mean_model, False),
     "W4_smooth_threshold_label": lambda s, p: _objects(smooth_threshold_label(_tiles(s, p)), ["image_id"]),
     "W5_threshold_connect": lambda s, p: _objects(threshold_planes_then_connect(d.vol(s, p)), ["image_id", "z"]),
-    "N5_classical_masks": lambda s, p: models.classical_masks(d.vol(s, p).where("z = 1").drop("z"), _ten_boxes(s, p)),
+    "N5_classical_masks": lambda s, p: models.classical_masks(_by_plane(d.vol(s, p)), _part_boxes(s, p)),
     "U1_channels": lambda s, p: tissue.two_channels(_tissue(s, p), 2, 0).withColumn("value", F.round("value", 6)),
     "U3_mean_suppression": lambda s, p: tissue.global_masks(tissue.two_channels(_tissue(s, p), 2, 0), (2,), 0.9),
     "U6_likelihood": lambda s, p: tissue.likelihood(_marks(s, p)).select("image_id", "y", "x", F.round("likelihood", 6).alias("likelihood")),
@@ -105,10 +148,15 @@ QUERIES = {
 }
 
 
-def _ten_boxes(spark, sf_dir) -> DataFrame:
+def _by_plane(volumes: DataFrame) -> DataFrame:
+    """Each plane of the volumes as an image of its own."""
+    return volumes.withColumn("image_id", F.col("image_id") * 7 + F.col("z") - 1).drop("z")
+
+
+def _part_boxes(spark, sf_dir) -> DataFrame:
     p = F.col("p_partkey")
-    rows = d.table(spark, sf_dir, "part").where("p_partkey < 100")
-    return rows.select((p % 10).cast("long").alias("image_id"), F.expr("p_partkey div 10").cast("int").alias("box_id"), (p * 7 % 20).cast("int").alias("min_y"), (p * 5 % 20).cast("int").alias("min_x"),
+    rows = d.table(spark, sf_dir, "part")
+    return rows.select((p % 70).cast("long").alias("image_id"), F.expr("p_partkey div 70").cast("int").alias("box_id"), (p * 7 % 20).cast("int").alias("min_y"), (p * 5 % 20).cast("int").alias("min_x"),
                        (p * 7 % 20 + 10).cast("int").alias("max_y"), (p * 5 % 20 + 12).cast("int").alias("max_x"))
 
 
@@ -132,8 +180,8 @@ lk AS (SELECT *, CASE WHEN (l < 0 AND NOT global0) OR (l > 0 AND NOT global1) TH
 po AS (SELECT *, CASE WHEN likelihood < 0 THEN q0 + abs(likelihood) - q0 * abs(likelihood) ELSE 0 END AS post0, CASE WHEN likelihood > 0 THEN q1 + abs(likelihood) - q1 * abs(likelihood) ELSE 0 END AS post1
   FROM (SELECT *, CASE WHEN local0 THEN 1 ELSE p0 END AS q0, CASE WHEN local1 THEN 1 ELSE p1 END AS q1 FROM lk))
 """
-_BX = """, bx AS (SELECT p_partkey % 10 AS image_id, (p_partkey // 10)::INT AS box_id, p_partkey * 7 % 20 AS y0, p_partkey * 5 % 20 AS x0, p_partkey * 7 % 20 + 10 AS y1, p_partkey * 5 % 20 + 12 AS x1 FROM part WHERE p_partkey < 100),
-px AS (SELECT b.image_id, b.box_id, v.y, v.x, v.value FROM bx b JOIN vol v ON v.image_id = b.image_id AND z = 1 AND y >= y0 AND y < y1 AND x >= x0 AND x < x1),
+_BX = """, bx AS (SELECT p_partkey % 70 AS image_id, (p_partkey // 70)::INT AS box_id, p_partkey * 7 % 20 AS y0, p_partkey * 5 % 20 AS x0, p_partkey * 7 % 20 + 10 AS y1, p_partkey * 5 % 20 + 12 AS x1 FROM part),
+px AS (SELECT b.image_id, b.box_id, v.y, v.x, v.value FROM bx b JOIN vol v ON v.image_id * 7 + z - 1 = b.image_id AND y >= y0 AND y < y1 AND x >= x0 AND x < x1),
 h AS (SELECT image_id, box_id, value AS b, count(*) AS n FROM px GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER w AS n0, sum(n * b) OVER w AS s0, sum(n) OVER v - sum(n) OVER w AS n1, sum(n * b) OVER v - sum(n * b) OVER w AS s1
   FROM h WINDOW w AS (PARTITION BY image_id, box_id ORDER BY b ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY image_id, box_id)),
@@ -153,3 +201,24 @@ SELECT image_id, c, y, x, (value <> 0 AND value >= 0.9::DOUBLE * m - 1e-12) AS v
     "N5_classical_masks": d.with_sql("vol", _BX + "SELECT image_id, box_id AS mask_id, y, x FROM px JOIN cut USING (image_id, box_id) WHERE value > cut"),
 }
 
+
+def _components_sql(source: str, keys: str, axes_: str, order: str) -> str:
+    """Labels 1..n in raster order of set pixels ``source`` (keys, axes), touching also at corners, by least numbers walked along neighbours."""
+    near = " AND ".join(f"q.{c} BETWEEN p.{c} - 1 AND p.{c} + 1" for c in axes_.split(", "))
+    return f""", n AS (SELECT *, row_number() OVER (ORDER BY {keys}, {order}) AS i FROM {source}),
+e AS (SELECT p.i AS a, q.i AS b FROM n p JOIN n q USING ({keys}) WHERE {near}),
+walk AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM walk w JOIN e ON e.a = w.b),
+root AS (SELECT a AS i, min(b) AS r FROM walk GROUP BY a),
+SELECTED AS (SELECT n.*, dense_rank() OVER (PARTITION BY {keys} ORDER BY r) AS label FROM n JOIN root USING (i))"""
+
+
+def _recursive(query: str) -> str:
+    return "WITH RECURSIVE" + query.removeprefix("WITH").replace("SELECTED AS", "labelled AS")
+
+
+_ABOVE_MEAN = """, m AS (SELECT image_id, avg(value) AS cut FROM px8 GROUP BY ALL), s AS (SELECT image_id, y, x FROM px8 JOIN m USING (image_id) WHERE value > cut)"""
+SQL |= {
+    "N1_segment": _recursive(d.with_sql("px8", _ABOVE_MEAN + _components_sql("s", "image_id", "y, x", "y, x") + " SELECT image_id, y, x, label FROM labelled")),
+    "N2_detect": d.with_sql("px8", """SELECT image_id, 0 AS box_id, 0::FLOAT AS min_y, 0::FLOAT AS min_x, 8::FLOAT AS max_y, 8::FLOAT AS max_x, stddev_pop(value) AS score FROM px8 GROUP BY image_id HAVING stddev_pop(value) >= 0.4"""),
+    "N3_mask": d.with_sql("px8", _ABOVE_MEAN + " SELECT image_id, 0 AS mask_id, y, x FROM s"),
+}

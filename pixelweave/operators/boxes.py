@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.functions.staging import staged
+
 SIDES = ("min_y", "min_x", "max_y", "max_x")
 
 
@@ -56,48 +56,45 @@ def box_pixels(boxes: DataFrame, pixels: DataFrame, cell: int = 16) -> DataFrame
     return placed.join(spread, ["image_id", "cell_y", "cell_x"]).where(inside).drop("cell_y", "cell_x", *SIDES)
 
 
-def iou_pairs(boxes: DataFrame, least: float = 0.0, cell: int = 32) -> DataFrame:
+def iou_pairs(boxes: DataFrame, least: float = 0.0, cell: int = 32, per: list[str] | None = None) -> DataFrame:
     """(image_id, a, b, iou) of boxes that overlap, a < b: pairs meet in the cell of their common corner alone."""
-    one = _cells(boxes.select("image_id", F.col("box_id").alias("a"), *SIDES), cell)
-    two = _cells(boxes.select("image_id", F.col("box_id").alias("b"), *SIDES), cell).withColumnsRenamed({s: f"o_{s}" for s in SIDES})
+    per = per or ["image_id"]
+    one = _cells(boxes.select(*per, F.col("box_id").alias("a"), *SIDES), cell)
+    two = _cells(boxes.select(*per, F.col("box_id").alias("b"), *SIDES), cell).withColumnsRenamed({s: f"o_{s}" for s in SIDES})
     top, left = F.greatest("min_y", "o_min_y"), F.greatest("min_x", "o_min_x")
     h, w = F.least("max_y", "o_max_y") - top, F.least("max_x", "o_max_x") - left
-    both = one.join(two, ["image_id", "cell_y", "cell_x"]).where((F.col("a") < F.col("b")) & (h > 0) & (w > 0))
+    both = one.join(two, [*per, "cell_y", "cell_x"]).where((F.col("a") < F.col("b")) & (h > 0) & (w > 0))
     both = both.where((F.floor(top / cell) == F.col("cell_y")) & (F.floor(left / cell) == F.col("cell_x")))
     area: Column = (F.col("max_y") - F.col("min_y")) * (F.col("max_x") - F.col("min_x")) + (F.col("o_max_y") - F.col("o_min_y")) * (F.col("o_max_x") - F.col("o_min_x"))
     iou = (h * w).cast("double") / F.nullif(area - h * w, F.lit(0))
-    return both.select("image_id", "a", "b", iou.alias("iou")).where(F.col("iou") > least)
+    return both.select(*per, "a", "b", iou.alias("iou")).where(F.col("iou") > least)
 
 
-def nms(boxes: DataFrame, conf: float = 0.4, iou: float = 0.9, max_det: int | None = 300) -> DataFrame:
+def nms(boxes: DataFrame, conf: float = 0.4, iou: float = 0.9, max_det: int | None = 300, per: list[str] | None = None) -> DataFrame:
     """Boxes of score >= conf; of two with more than ``iou`` in common, the better stays; at most max_det an image.
 
-    Equal scores go by box_id. The greedy choice sees only pairs that overlap
-    enough, as an edge list of each image.
+    Equal scores go by box_id. In rounds over the pairs that overlap enough: a box
+    without a better live neighbour stays and its neighbours go, until no pair is
+    live. Each round is staged, so no image's boxes need to be in one task.
     """
+    per = per or ["image_id"]
     good = boxes.where(F.col("score") >= conf)
-    pairs = iou_pairs(good, iou).select("image_id", "a", "b")
-
-    def choose(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "box_id"], ascending=[False, True])
-        near: dict[int, list[int]] = {}
-        for a, b in zip(edges["a"], edges["b"], strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        gone: set[int] = set()
-        kept = np.zeros(len(rows), bool)
-        for k, box in enumerate(rows["box_id"]):
-            if box not in gone:
-                kept[k] = True
-                gone.update(near.get(box, ()))
-        return rows[kept][["image_id", "box_id"]]
-
-    fields = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in ("image_id", "box_id"))
-    scored, edges = good.select(F.col("image_id").alias("i"), "image_id", "box_id", "score"), pairs.withColumnRenamed("image_id", "j")
-    kept = scored.groupBy("i").cogroup(edges.groupBy("j")).applyInPandas(choose, fields)
-    kept = kept.select(F.col("image_id").alias("image_id"), F.col("box_id").alias("box_id"))
-    out = good.join(kept, ["image_id", "box_id"], "left_semi")
+    scores = good.select(*per, "box_id", "score")
+    pairs = iou_pairs(good, iou, per=per)
+    for end in ("a", "b"):
+        pairs = pairs.join(scores.withColumnsRenamed({"box_id": end, "score": f"score_{end}"}), [*per, end])
+    first = (F.col("score_a") > F.col("score_b")) | ((F.col("score_a") == F.col("score_b")) & (F.col("a") < F.col("b")))
+    live = staged(pairs.select(*per, F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("box_id")), "pairs")
+    gone = None
+    while live.limit(1).count():
+        beaten = live.select(*per, "box_id").distinct()
+        stays = live.select(*per, F.col("better").alias("box_id")).distinct().join(beaten, [*per, "box_id"], "left_anti").withColumnRenamed("box_id", "better")
+        out = staged(live.join(stays, [*per, "better"], "left_semi").select(*per, "box_id").distinct(), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        live = live.join(out, [*per, "box_id"], "left_anti").join(out.withColumnRenamed("box_id", "better"), [*per, "better"], "left_anti")
+        live = staged(live.join(stays, [*per, "better"], "left_anti"), "pairs")
+    kept = good if gone is None else good.join(gone, [*per, "box_id"], "left_anti")
     if max_det is None:
-        return out
-    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "box_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= max_det).drop("rank")
+        return kept
+    rank = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("score"), "box_id"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= max_det).drop("rank")

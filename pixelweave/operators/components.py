@@ -13,8 +13,6 @@ from pixelweave.functions.graph import components
 from pixelweave.functions.staging import staged
 
 TILE = 512
-#: Bits that number a pixel within its image.
-_PIXEL_BITS = 40
 
 
 def half_neighbours(dims: int, full: bool) -> list[tuple[int, ...]]:
@@ -59,16 +57,18 @@ def label(mask: DataFrame, per: list[str] | None = None, connectivity: str = "fu
 
     Pixels touch along an edge ('edge') or also at corners ('full'); coordinates
     that are not in ``per`` belong to the object, so stacks without z in ``per``
-    give solid objects. An image larger than a tile is cut: only border pixels meet
+    give solid objects. Coordinates are in [0, 2^31) on planes and in [0, 2^21) in
+    volumes; others are an error. An image larger than a tile is cut: only border pixels meet
     in a join, and only their components in a graph.
     """
     per = per or ["image_id"]
     dims = [c for c in ("z", "y", "x") if c in mask.columns and c not in per]
     full = connectivity == "full"
-    wide = (1 << _PIXEL_BITS // len(dims)) if len(dims) > 1 else 1 << _PIXEL_BITS
+    wide = 1 << (63 // len(dims) if len(dims) > 2 else 31)
     spot = F.lit(0).cast("long")
     for c in dims:
-        spot = spot * wide + F.col(c)
+        inside = (F.col(c) >= 0) & (F.col(c) < wide)
+        spot = spot * wide + F.when(inside, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is not in [0, {wide})")).cast("long"))
     pixels = mask.select(*per, *dims).withColumn("spot", spot)
     tiles = {f"t_{c}": F.expr(f"{c} div {tile}") for c in dims}
     fields = [f"{c} {mask.schema[c].dataType.simpleString()}" for c in [*per, *dims]]

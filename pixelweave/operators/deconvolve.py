@@ -1,46 +1,69 @@
-"""Richardson-Lucy deconvolution of whole planes with a PSF table."""
+"""Richardson-Lucy deconvolution of whole planes or volumes with a PSF table."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels
-from pixelweave.sources.tiles import array_of
+from pixelweave.sources.tiles import _fields, _keys, _numbers, array_of, axes, whole_blocks
+
+#: Pixels that are deconvolved together.
+_TOGETHER = 1 << 20
 
 
 def packed_psf(psf: DataFrame) -> DataFrame:
-    """(psf_id, ph, pw, kernel): a PSF in one row, as little-endian doubles."""
+    """(psf_id, pd, ph, pw, kernel): a PSF in one row, as little-endian doubles; pd is 1 for a plane."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros((rows["y"].max() + 1, rows["x"].max() + 1))
-        plane[rows["y"], rows["x"]] = rows["value"]
-        return pd.DataFrame({"psf_id": [rows["psf_id"].iloc[0]], "ph": [plane.shape[0]], "pw": [plane.shape[1]], "kernel": [plane.astype("<f8").tobytes()]})
+        solid = np.zeros([rows[c].max() + 1 for c in ("z", "y", "x")])
+        solid[rows["z"], rows["y"], rows["x"]] = rows["value"]
+        return pd.DataFrame({"psf_id": [rows["psf_id"].iloc[0]], **{n: [s] for n, s in zip(("pd", "ph", "pw"), solid.shape, strict=True)}, "kernel": [solid.astype("<f8").tobytes()]})
 
-    return psf.where("z = 0").groupBy("psf_id").applyInPandas(pack, f"psf_id {psf.schema['psf_id'].dataType.simpleString()}, ph int, pw int, kernel binary")
+    own = psf if "z" in psf.columns else psf.withColumn("z", F.lit(0))
+    return own.groupBy("psf_id").applyInPandas(pack, f"psf_id {psf.schema['psf_id'].dataType.simpleString()}, pd int, ph int, pw int, kernel binary")
 
 
 def richardson_lucy(tiles: DataFrame, psf: DataFrame, num_iters: int = 10, noncirc: bool = False, mask: DataFrame | None = None) -> DataFrame:
-    """Pixels (image_id, y, x, value) of the deconvolved planes of ``tiles`` (with psf_id); one plane a row, all iterations in its task.
+    """Pixels (image_id, slice columns, axes, value) of the deconvolved planes or volumes of ``tiles`` (with psf_id).
 
-    ``mask``: tiles of weights, 0 for pixels to leave out, which come back unchanged.
+    One plane or volume a row, all iterations in its task; those of one shape and PSF in a batch
+    go together. A PSF with more than one plane needs volumes. ``mask``: tiles of weights
+    with the same keys, 0 for pixels to leave out, which come back unchanged.
     """
+    dims, keys = axes(tiles), [k for k in _keys(tiles) if k != "psf_id"]
     rows = tiles.join(packed_psf(psf), "psf_id")
     if mask is not None:
-        rows = rows.join(mask.select("image_id", F.col("data").alias("seen")), "image_id")
+        rows = rows.join(mask.select(*(k for k in _keys(mask) if k != "psf_id"), F.col("data").alias("seen")), [k for k in _keys(mask) if k in keys])
     else:
         rows = rows.withColumn("seen", F.lit(None).cast("binary"))
 
     def run(batches):
         for part in batches:
-            for one in part.itertuples(index=False):
-                if (one.dy, one.dx) != (one.h, one.w):
-                    raise ValueError("deconvolution needs whole planes")
-                seen = array_of(one.seen, one.dy, one.dx) if one.seen else None
-                out = kernels.richardson_lucy(array_of(one.data, one.dy, one.dx), array_of(one.kernel, one.ph, one.pw), num_iters, noncirc, seen)
-                y, x = np.divmod(np.arange(out.size), one.dx)
-                yield pd.DataFrame({"image_id": one.image_id, "y": y, "x": x, "value": out.reshape(-1)})
-
-    return rows.select("image_id", "dy", "dx", "h", "w", "data", "ph", "pw", "kernel", "seen").mapInPandas(run, "image_id long, y int, x int, value double")
+            groups: dict[tuple, list[int]] = {}
+            blocks = list(whole_blocks(part, dims))
+            kernel_of = [part.column(c).to_pylist() for c in ("psf_id", "pd", "ph", "pw")]
+            for i, block in enumerate(blocks):
+                key = (block.shape, part.column("seen")[i].is_valid, *(c[i] for c in kernel_of))
+                groups.setdefault(key, []).append(i)
+            for (shape, masked, _, *solid), members in groups.items():
+                kernel = array_of(part.column("kernel")[members[0]].as_buffer(), *solid)
+                if len(dims) == 2:
+                    if solid[0] != 1:
+                        raise ValueError("a PSF with more than one plane needs tiles of volumes")
+                    kernel = kernel[0]
+                step = max(1, _TOGETHER // int(np.prod(shape)))
+                for at in range(0, len(members), step):
+                    some = members[at : at + step]
+                    seen = np.stack([array_of(part.column("seen")[i].as_buffer(), *shape) for i in some]) if masked else None
+                    out = kernels.richardson_lucy(np.stack([blocks[i] for i in some]), kernel, num_iters, noncirc, seen)
+                    spots = np.unravel_index(np.tile(np.arange(int(np.prod(shape))), len(some)), shape)
+                    row = pa.array(np.repeat(some, int(np.prod(shape))))
+                    columns = [*(part.column(k).take(row) for k in keys), *(pa.array(s, pa.int32()) for s in spots), pa.array(out.reshape(-1))]
+                    yield pa.RecordBatch.from_arrays(columns, [*keys, *dims, "value"])
+
+    columns = [*keys, "psf_id", *_numbers(dims), "data", "pd", "ph", "pw", "kernel", "seen"]
+    return rows.select(*columns).mapInArrow(run, _fields(tiles, keys) + ", ".join(f"{c} int" for c in dims) + ", value double")

@@ -1,15 +1,20 @@
-"""Neighbourhood filters over tiles: smoothing, edges, ridges and morphology."""
+"""Neighbourhood filters over tiles of planes or volumes: smoothing, edges, ridges and morphology.
+
+On tiles of volumes a filter works along all three axes. Bilateral, Farid and Roberts
+filters are of planes.
+"""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels as k
-from pixelweave.sources.tiles import _keys, apply_halo, apply_whole, array_of
+from pixelweave.sources.tiles import _body, _fields, _keys, _numbers, apply_halo, apply_whole, axes, largest
 
 
 def gaussian(tiles: DataFrame, sigma: float = 1.0) -> DataFrame:
@@ -17,7 +22,7 @@ def gaussian(tiles: DataFrame, sigma: float = 1.0) -> DataFrame:
 
 
 def median(tiles: DataFrame, radius: int = 1, shape: str = "ball") -> DataFrame:
-    k.offsets(radius, 2, shape)
+    k.offsets(radius, len(axes(tiles)), shape)
     return apply_halo(tiles, lambda a: k.median(a, radius, shape), radius)
 
 
@@ -31,6 +36,11 @@ def kuwahara(tiles: DataFrame, radius: int = 2) -> DataFrame:
     return apply_halo(tiles, lambda a: k.kuwahara(a, radius), 2 * radius)
 
 
+def _planes_only(tiles: DataFrame) -> None:
+    if len(axes(tiles)) != 2:
+        raise ValueError("this filter is of planes")
+
+
 def _unit(a: np.ndarray, kernel) -> np.ndarray:
     """A kernel on the plane scaled to [0, 1], and back."""
     low, span = a.min(), (a.max() - a.min()) or 1.0
@@ -39,6 +49,7 @@ def _unit(a: np.ndarray, kernel) -> np.ndarray:
 
 def bilateral(tiles: DataFrame, sigma_color: float = 0.1, sigma_spatial: float = 1.0) -> DataFrame:
     """Planes in parts are scaled by the ends of the whole plane, found first."""
+    _planes_only(tiles)
     halo = max(1, math.ceil(3 * sigma_spatial))
     return _scaled(tiles, lambda a: k.bilateral(a, sigma_color, sigma_spatial, halo), halo)
 
@@ -55,33 +66,31 @@ def _scaled(tiles: DataFrame, kernel, halo: int) -> DataFrame:
 
 
 def plane_ends(tiles: DataFrame) -> DataFrame:
-    """(keys, lo, span) of whole planes."""
+    """(keys, lo, span) of whole planes or volumes."""
     keys = _keys(tiles)
 
     def run(batches):
         for rows in batches:
-            rows["lo"] = [array_of(d, dy, dx).min() for d, dy, dx in zip(rows["data"], rows["dy"], rows["dx"], strict=True)]
-            rows["hi"] = [array_of(d, dy, dx).max() for d, dy, dx in zip(rows["data"], rows["dy"], rows["dx"], strict=True)]
-            yield rows[[*keys, "lo", "hi"]]
+            values = [np.frombuffer(x.as_buffer(), "<f8") for x in rows.column("data")]
+            ends = [pa.array([float(f(v)) for v in values], pa.float64()) for f in (np.min, np.max)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keys), *ends], [*keys, "lo", "hi"])
 
-    fields = ", ".join(f"{c} {tiles.schema[c].dataType.simpleString()}" for c in keys)
-    parts = tiles.select(*keys, "dy", "dx", "data").mapInPandas(run, f"{fields}, lo double, hi double")
+    parts = tiles.select(*keys, "data").mapInArrow(run, _fields(tiles, keys) + "lo double, hi double")
     ends = parts.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     span = F.col("hi") - F.col("lo")
     return ends.select(*keys, "lo", F.when(span == 0, 1.0).otherwise(span).alias("span"))
 
 
 def _with_ends(joined: DataFrame, fn) -> DataFrame:
-    keys = [c for c in _keys(joined) if c not in ("lo", "span")]
-    fields = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in keys)
+    keys, dims = [c for c in _keys(joined) if c not in ("lo", "span")], axes(joined)
+    names = [*keys, *_numbers(dims)]
 
     def run(batches):
         for rows in batches:
-            rows["data"] = [fn(np.frombuffer(d, "<f8"), lo, span).tobytes() for d, lo, span in zip(rows["data"], rows["lo"], rows["span"], strict=True)]
-            yield rows.drop(columns=["lo", "span"])
+            data = [fn(np.frombuffer(d.as_buffer(), "<f8"), lo.as_py(), span.as_py()).tobytes() for d, lo, span in zip(rows.column("data"), rows.column("lo"), rows.column("span"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(data, pa.binary())], [*names, "data"])
 
-    body = "y0 int, x0 int, dy int, dx int, h int, w int, side int, data binary"
-    return joined.select(*keys, "y0", "x0", "dy", "dx", "h", "w", "side", "data", "lo", "span").mapInPandas(run, f"{fields}, {body}")
+    return joined.select(*names, "data", "lo", "span").mapInArrow(run, _fields(joined, keys) + _body(dims))
 
 
 def total_variation(tiles: DataFrame, weight: float = 0.1, max_num_iter: int = 200) -> DataFrame:
@@ -97,7 +106,9 @@ def butterworth(tiles: DataFrame, cutoff: float = 0.05, order: float = 2, high_p
 
 
 def edges(tiles: DataFrame, kind: str = "sobel") -> DataFrame:
-    """sobel, scharr, prewitt, farid or roberts."""
+    """sobel, scharr, prewitt, farid or roberts; the last two on planes only."""
+    if kind in ("farid", "roberts"):
+        _planes_only(tiles)
     if kind == "roberts":
         return apply_halo(tiles, k.roberts, 1)
     return apply_halo(tiles, lambda a: k.gradient(a, kind), 2 if kind == "farid" else 1)
@@ -118,17 +129,16 @@ def unsharp(tiles: DataFrame, radius: float = 1.0, amount: float = 1.0) -> DataF
 
 
 def ridges(tiles: DataFrame, kind: str = "frangi", sigma_min: float = 1, sigma_max: float = 10, step: float = 2, black_ridges: bool = True, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
-    """frangi, sato or meijering on whole planes, as two of them divide by a maximum over the plane."""
+    """frangi, sato or meijering; the largest responses that two of them divide by are found over the whole plane or volume first."""
     sigmas = k.scales(sigma_min, sigma_max, step)
-
-    def kernel(a: np.ndarray) -> np.ndarray:
-        norms = k.structure_norms(a, sigmas, black_ridges) if kind != "sato" else ([], [])
-        return k.ridges(a, kind, sigmas, norms, black_ridges, alpha, beta)
-
-    return apply_whole(tiles, kernel)
+    halo, n = math.ceil(4 * sigmas.max()) + 2, len(sigmas)
+    if kind == "sato":
+        return apply_halo(tiles, lambda a: k.ridges(a, kind, sigmas, ([], []), black_ridges, alpha, beta), halo)
+    normed = tiles.join(largest(tiles, lambda a: k.structure(a, sigmas, black_ridges), halo), _keys(tiles))
+    return apply_halo(normed, lambda a, most: k.ridges(a, kind, sigmas, (most[:n], most[n:]), black_ridges, alpha, beta), halo, extra="largest")
 
 
 def morphology(tiles: DataFrame, kind: str = "erosion", radius: int = 1, shape: str = "ball") -> DataFrame:
     """erosion, dilation, opening, closing, white_tophat or black_tophat."""
-    k.offsets(radius, 2, shape)
+    k.offsets(radius, len(axes(tiles)), shape)
     return apply_halo(tiles, lambda a: k.morphology(a, kind, radius, shape), radius if kind in ("erosion", "dilation") else 2 * radius)

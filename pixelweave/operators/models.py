@@ -1,6 +1,7 @@
 """Batch inference with any model, and model-free stand-ins for detectors and maskers.
 
-A model factory is called once in each Python worker call, not once a row.
+A model is made once for all rows that a Python worker gets in a task. Slice columns
+(z, c, t) of the tiles stay in the results.
 """
 
 from __future__ import annotations
@@ -9,84 +10,90 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.operators import labels, threshold
 from pixelweave.operators.boxes import box_pixels, nms
 from pixelweave.operators.components import label, sparse_roots
-from pixelweave.sources.tiles import array_of
-
-
-def _planes(rows: pd.DataFrame) -> Iterator[tuple[object, np.ndarray]]:
-    for one in rows.itertuples(index=False):
-        if (one.dy, one.dx) != (one.h, one.w):
-            raise ValueError("models see whole planes")
-        yield one, array_of(one.data, one.dy, one.dx)
+from pixelweave.sources.tiles import _fields, _keys, _numbers, array_of, axes, whole_blocks
 
 
 def segment_with(tiles: DataFrame, model_factory: Callable, normalize: bool = True) -> DataFrame:
-    """Labels (image_id, y, x, label) of a model from a plane to a mask or label image; masks become their objects.
+    """Labels (image_id, slice columns, axes, label) of a model from a plane or volume to a mask or label image; masks become their objects.
 
-    With ``normalize`` a plane is scaled by its percentiles 1 and 99.8 first.
+    With ``normalize`` a plane or volume is scaled by its percentiles 1 and 99.8 first.
     """
+    keys, dims = _keys(tiles), axes(tiles)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_factory()
         for rows in batches:
-            for one, plane in _planes(rows):
+            for i, block in enumerate(whole_blocks(rows, dims)):
                 if normalize:
-                    low, high = np.percentile(plane, (1.0, 99.8))
-                    plane = (plane - low) / (high - low + 1e-20)
-                made = np.asarray(model(plane))
-                y, x = np.nonzero(made)
-                found = made[y, x].astype(int)
-                if made.dtype == bool and len(y):
-                    _, found = np.unique(sparse_roots(np.stack([y, x], axis=1)), return_inverse=True)
-                    found = found + 1
-                yield pd.DataFrame({"image_id": one.image_id, "y": y, "x": x, "label": found})
+                    low, high = np.percentile(block, (1.0, 99.8))
+                    block = (block - low) / (high - low + 1e-20)
+                made = np.asarray(model(block))
+                spots = np.nonzero(made)
+                found = made[spots].astype(np.int64)
+                if made.dtype == bool and len(found):
+                    found = np.unique(sparse_roots(np.stack(spots, axis=1)), return_inverse=True)[1] + 1
+                row = pa.array(np.full(len(found), i))
+                yield pa.RecordBatch.from_arrays([*(rows.column(k).take(row) for k in keys), *(pa.array(s, pa.int32()) for s in spots), pa.array(found, pa.int64())], [*keys, *dims, "label"])
+
+    return tiles.select(*keys, *_numbers(dims), "data").mapInArrow(run, _fields(tiles, keys) + "".join(f"{c} int, " for c in dims) + "label long")
 
-    return tiles.mapInPandas(run, "image_id long, y int, x int, label long")
+
+_BOX = "box_id int, min_y float, min_x float, max_y float, max_x float, score double"
 
 
 def detect_with(tiles: DataFrame, model_factory: Callable, conf: float = 0.4, iou: float = 0.9, max_det: int = 300) -> DataFrame:
-    """Boxes of a model from a plane to rows (x0, y0, x1, y1, score), filtered, suppressed and capped."""
+    """Boxes (image_id, slice columns, box) of a model from a plane to rows (x0, y0, x1, y1, score), filtered, suppressed and capped a plane."""
+    keys = _keys(tiles)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_factory()
         for rows in batches:
-            for one, plane in _planes(rows):
-                found = np.asarray(model(plane), float).reshape(-1, 5)
-                yield pd.DataFrame({
-                    "image_id": one.image_id, "box_id": np.arange(len(found)), "min_y": found[:, 1], "min_x": found[:, 0], "max_y": found[:, 3], "max_x": found[:, 2], "score": found[:, 4],
-                })
+            found = [np.asarray(model(block), float).reshape(-1, 5) for block in whole_blocks(rows, ("y", "x"))]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            sides = np.concatenate(found) if found else np.zeros((0, 5))
+            numbers = np.concatenate([np.arange(len(f)) for f in found]) if found else np.zeros(0)
+            columns = [pa.array(numbers, pa.int32()), *(pa.array(sides[:, c], pa.float32()) for c in (1, 0, 3, 2)), pa.array(sides[:, 4])]
+            yield pa.RecordBatch.from_arrays([*(rows.column(k).take(row) for k in keys), *columns], [*keys, *(x.split()[0] for x in _BOX.split(", "))])
 
-    raw = tiles.mapInPandas(run, "image_id long, box_id int, min_y float, min_x float, max_y float, max_x float, score double")
-    return nms(raw, conf, iou, max_det)
+    return nms(tiles.select(*keys, *_numbers(("y", "x")), "data").mapInArrow(run, _fields(tiles, keys) + _BOX), conf, iou, max_det, keys)
 
 
-def mask_with(tiles: DataFrame, boxes: DataFrame, model_factory: Callable) -> tuple[DataFrame, DataFrame]:
+def mask_with(tiles: DataFrame, boxes: DataFrame, model_factory: Callable, batch_size: int = 100) -> tuple[DataFrame, DataFrame]:
     """(masks, surviving boxes) of a model from (plane, boxes) to one mask a box, relative to the box's corner.
 
-    An image's boxes go to the model together; an image without boxes costs no call.
+    A plane's boxes go to the model ``batch_size`` at a time; a plane without boxes costs no call.
     """
+    keys, model = _keys(tiles), {}
 
     def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(found):
-            model = model_factory()
+        parts = [pd.DataFrame({c: [] for c in (*keys, "mask_id", "y", "x")})]
+        if len(found) and len(rows):
+            if not model:
+                model[0] = model_factory()
             found = found.sort_values("box_id")
-            for _, plane in _planes(rows):
-                sides = found[["min_y", "min_x", "max_y", "max_x"]].to_numpy()
-                for (y0, x0, _, _), box, made in zip(sides, found["box_id"], model(plane, sides), strict=True):
+            one = rows.iloc[0]
+            if (one.dy, one.dx) != (one.h, one.w):
+                raise ValueError("models see whole planes")
+            plane, every = array_of(one.data, one.dy, one.dx), found[["min_y", "min_x", "max_y", "max_x"]].to_numpy()
+            for at in range(0, len(found), batch_size):
+                sides = every[at : at + batch_size]
+                for (y0, x0, _, _), box, made in zip(sides, found["box_id"].iloc[at : at + batch_size], model[0](plane, sides), strict=True):
                     y, x = np.nonzero(made)
-                    parts.append(pd.DataFrame({"image_id": rows["image_id"].iloc[0], "mask_id": box, "y": y + int(y0), "x": x + int(x0)}))
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("image_id", "mask_id", "y", "x")})
-
-    left, right = tiles.withColumn("i", F.col("image_id")), boxes.withColumn("j", F.col("image_id"))
-    masks = left.groupBy("i").cogroup(right.groupBy("j")).applyInPandas(run, "image_id long, mask_id int, y int, x int")
-    kept = masks.select(F.col("image_id"), F.col("mask_id").alias("box_id")).distinct()
-    return masks, boxes.join(kept, ["image_id", "box_id"], "left_semi")
+                    parts.append(pd.DataFrame({**{k: one[k] for k in keys}, "mask_id": box, "y": y + int(y0), "x": x + int(x0)}))
+        return pd.concat(parts)
+
+    left, right = (x.withColumns({f"k{i}": F.col(k) for i, k in enumerate(keys)}) for x in (tiles, boxes))
+    by = [f"k{i}" for i in range(len(keys))]
+    masks = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, _fields(tiles, keys) + "mask_id int, y int, x int")
+    kept = masks.select(*keys, F.col("mask_id").alias("box_id")).distinct()
+    return masks, boxes.join(kept, [*keys, "box_id"], "left_semi")
 
 
 def classical_boxes(pixels: DataFrame, min_size: int = 15) -> DataFrame:

@@ -18,14 +18,25 @@ def histogram(pixels: DataFrame, per: list[str], integer: bool = True, bins: int
     ends = pixels.groupBy(*per).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / width))).otherwise(0)
-    centre = F.when(width > 0, F.col("lo") + (place + 0.5) * width).otherwise(F.col("lo"))
-    return pixels.join(ends, per).groupBy(*per, centre.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return pixels.join(ends, per).groupBy(*per, _centre(place, width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _dense(hist: DataFrame, per: list[str]) -> DataFrame:
-    """A histogram of whole numbers with its empty bins."""
-    ends = hist.groupBy(*per).agg(F.min("b").cast("long").alias("lo"), F.max("b").cast("long").alias("hi"))
-    every = ends.select(*per, F.explode(F.sequence("lo", "hi")).alias("b")).withColumn("b", F.col("b").cast("double"))
+def _centre(place: Column, width: Column) -> Column:
+    return F.when(width > 0, F.col("lo") + (place + 0.5) * width).otherwise(F.col("lo"))
+
+
+def full_histogram(pixels: DataFrame, per: list[str], integer: bool = True, bins: int = FLOAT_BINS) -> DataFrame:
+    """``histogram`` with its empty bins; values that aren't whole are an error if ``integer``."""
+    hist = histogram(pixels, per, integer, bins)
+    if integer:
+        whole = F.when(F.col("b") == F.floor("b"), F.col("b")).otherwise(F.raise_error(F.lit("values are not whole: use integer=False")).cast("double"))
+        hist = hist.withColumn("b", whole)
+        ends = hist.groupBy(*per).agg(F.min("b").cast("long").alias("lo"), F.max("b").cast("long").alias("hi"))
+        every = ends.select(*per, F.explode(F.sequence("lo", "hi")).alias("b")).withColumn("b", F.col("b").cast("double"))
+    else:
+        ends = pixels.groupBy(*per).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+        width = (F.col("hi") - F.col("lo")) / bins
+        every = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(width > 0, bins - 1).otherwise(0)))).select(*per, _centre(F.col("i"), width).alias("b"))
     return every.join(hist, [*per, "b"], "left").select(*per, "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -102,7 +113,7 @@ def cuts(pixels: DataFrame, method: str = "otsu", per: list[str] | None = None,
         rows = _running(hist, per).withColumn("after", after)
         return rows.groupBy(*per).agg(F.coalesce(F.min(F.when(ok, F.col("b"))), F.max("b")).alias("cut"))
     if method == "triangle":
-        rows = _dense(hist, per) if integer else hist
+        rows = full_histogram(pixels, per, integer)
         whole = Window.partitionBy(*per)
         peak = F.max(F.struct("n", (-F.col("b")).alias("m"))).over(whole)
         rows = rows.withColumn("top", peak["n"]).withColumn("peak", -peak["m"]).withColumn("lo", F.min("b").over(whole)).withColumn("hi", F.max("b").over(whole))
@@ -123,7 +134,7 @@ def cuts(pixels: DataFrame, method: str = "otsu", per: list[str] | None = None,
             raise ValueError(f"image {key}: the histogram never has two peaks")
         return pd.DataFrame([[*key, None if cut != cut else cut]], columns=[*per, "cut"])
 
-    rows = _dense(hist, per) if method == "minimum" and integer else hist
+    rows = full_histogram(pixels, per, integer) if method == "minimum" else hist
     fields = ", ".join(f"{c} {pixels.schema[c].dataType.simpleString()}" for c in per)
     return rows.groupBy(*per).applyInPandas(one, f"{fields}, cut double")
 
@@ -136,12 +147,12 @@ def apply_cut(pixels: DataFrame, cut: DataFrame, per: list[str] | None = None, i
 
 
 def threshold(pixels: DataFrame, method: str = "otsu", per: list[str] | None = None, invert: bool = False, label_objects: bool = True, integer: bool = True) -> DataFrame:
-    """Mask of a method's foreground, or its objects as labels. Colour is averaged to gray first."""
+    """Mask of a method's foreground, or its objects as labels. Colour is averaged to gray first, which makes it a float image."""
     from pixelweave.operators.components import label
     from pixelweave.operators.intensity import to_gray
 
     if "c" in pixels.columns and "c" not in (per or []):
-        pixels = to_gray(pixels)
+        pixels, integer = to_gray(pixels), False
     per = per or ["image_id"]
     mask = apply_cut(pixels, cuts(pixels, method, per, integer), per, invert)
     return label(mask.where("value = 1").drop("value"), per) if label_objects else mask
@@ -163,18 +174,41 @@ def multiotsu_cuts(pixels: DataFrame, classes: int = 3, per: list[str] | None =
 
 
 def best_cuts(b: np.ndarray, n: np.ndarray, classes: int) -> list[float] | None:
-    """By dynamic programming: the best score of k classes up to each bin, from that of k - 1."""
+    """By dynamic programming: the best score of k classes up to each bin, from that of k - 1.
+
+    The best begin of the last class never falls as its end grows, so the ends are
+    halved: those in between look only between the begins of their neighbours. Memory
+    is in proportion to the number of bins.
+    """
     if len(b) < classes:
         return None
-    c, s = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * b)])
-    size, total = c[None, :] - c[:, None], s[None, :] - s[:, None]
-    part = np.where(size > 0, total**2 / np.where(size > 0, size, 1), -np.inf)  # class of bins [i, j)
-    score, back = part[0], []
-    for _ in range(classes - 1):
-        every = score[:, None] + part
-        back.append(every.argmax(axis=0))
-        score = every.max(axis=0)
-    at, found = len(b), []
+    c, s, size = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * b)]), len(b)
+
+    def part(i: np.ndarray, j: np.ndarray) -> np.ndarray:  # class of bins [i, j)
+        return (s[j] - s[i]) ** 2 / (c[j] - c[i])
+
+    ends = np.arange(1, size + 1)
+    score, back = np.concatenate([[-np.inf], part(np.zeros_like(ends), ends)]), []
+    for made in range(1, classes):
+        best, begin = np.full(size + 1, -np.inf), np.zeros(size + 1, np.int64)
+        # intervals of ends, each with the begins that its ends may have
+        todo = np.array([[made + 1, size, made, size - 1]])
+        while len(todo):
+            low, high, first, last = todo.T
+            end = (low + high) // 2
+            upto = np.minimum(last, end - 1)
+            count = upto - first + 1
+            cut = np.cumsum(count) - count
+            i = np.arange(count.sum()) - np.repeat(cut - first, count)
+            value = score[i] + part(i, np.repeat(end, count))
+            top = np.maximum.reduceat(value, cut)
+            hit = np.flatnonzero(value == np.repeat(top, count))
+            at = i[hit[np.searchsorted(hit, cut)]]
+            best[end], begin[end] = top, at
+            todo = np.concatenate([np.stack([low, end - 1, first, at], 1)[low < end], np.stack([end + 1, high, at, last], 1)[end < high]])
+        back.append(begin)
+        score = best
+    at, found = size, []
     for step in reversed(back):
         at = step[at]
         found.append(float(b[at - 1]))

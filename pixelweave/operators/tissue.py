@@ -70,6 +70,10 @@ def global_masks(channels: DataFrame, reaches: tuple[int, ...] = (5, 10, 20, 40)
     return from_tiles(apply_halo(to_tiles(channels, side), kernel, max(reaches))).withColumn("value", F.col("value") > 0)
 
 
+#: Neighbours that the local cut looks at together.
+_CELLS = 2_000_000
+
+
 def local_masks(channels: DataFrame, r0: int = 5, k0: float = 1.0, smoothing: bool = True, side: int = SIDE) -> DataFrame:
     """Over a local Otsu cut in a disk, after smoothing that spares gradients; 8-bit levels of whole planes."""
     ring = [o for o in np.ndindex(2 * r0 + 1, 2 * r0 + 1) if (o[0] - r0) ** 2 + (o[1] - r0) ** 2 <= r0 * r0]
@@ -79,10 +83,15 @@ def local_masks(channels: DataFrame, r0: int = 5, k0: float = 1.0, smoothing: bo
             u = np.exp(-(k.gradient(_unit(a), "sobel") ** 2) / (2 * k0 * k0))
             add = lambda v: sum(np.pad(v, 1)[dy : dy + v.shape[0], dx : dx + v.shape[1]] for dy in range(3) for dx in range(3))
             a = _unit(add(u * _unit(a)) / add(u))
-        level = np.rint(a * 255).astype(int)
+        level = np.rint(a * 255).astype(np.int16)
         padded = np.pad(level, r0, constant_values=-1)
+        # rows in bands, so that memory is bounded whatever the plane
+        step = max(1, _CELLS // (len(ring) * level.shape[1]))
+        return np.concatenate([over(padded[at : at + step + 2 * r0], level[at : at + step]) for at in range(0, len(level), step)])
+
+    def over(padded: np.ndarray, level: np.ndarray) -> np.ndarray:
         stack = np.stack([padded[dy : dy + level.shape[0], dx : dx + level.shape[1]] for dy, dx in ring], axis=-1)
-        order = np.sort(stack, axis=-1).astype(float)
+        order = np.sort(stack, axis=-1).astype(np.float64)
         valid = order >= 0
         n, s = np.cumsum(valid, axis=-1), np.cumsum(np.where(valid, order, 0), axis=-1)
         nn, ss = n[..., -1:], s[..., -1:]
@@ -96,10 +105,21 @@ def local_masks(channels: DataFrame, r0: int = 5, k0: float = 1.0, smoothing: bo
     return from_tiles(apply_whole(to_tiles(channels, side), kernel)).withColumn("value", F.col("value") > 0)
 
 
-def remove_background(rows: DataFrame, pct: float = 0.3) -> DataFrame:
-    """Global masks where the probability passes ``pct``, and local ones inside them."""
-    for c in (0, 1):
-        rows = rows.withColumn(f"global{c}", F.col(f"global{c}") & (F.col(f"p{c}") > pct)).withColumn(f"local{c}", F.col(f"local{c}") & F.col(f"global{c}"))
+def remove_background(rows: DataFrame, pct: float | tuple[float | None, float | None] | None = (0.01, 0.01)) -> DataFrame:
+    """Global masks where the probability passes a marker's ``pct``, and local ones inside them.
+
+    One number is for both markers; None takes the first of two cuts that part an
+    image's probabilities in three classes (no cut where it has fewer values).
+    """
+    both = pct if isinstance(pct, tuple) else (pct, pct)
+    for c, least in enumerate(both):
+        if least is None:
+            found = multiotsu_cuts(rows.select("image_id", F.col(f"p{c}").alias("value")), 3, integer=False)
+            rows = rows.join(found.select("image_id", F.coalesce(F.get("cuts", F.lit(0)), F.lit(0.0)).alias("least")), "image_id")
+        else:
+            rows = rows.withColumn("least", F.lit(float(least)))
+        rows = rows.withColumn(f"global{c}", F.col(f"global{c}") & (F.col(f"p{c}") > F.col("least"))).drop("least")
+        rows = rows.withColumn(f"local{c}", F.col(f"local{c}") & F.col(f"global{c}"))
     return rows
 
 
@@ -132,7 +152,7 @@ def ternary(rows: DataFrame, source: str = "Aposteriori") -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("post0") + F.col("post1") == 0, 0).when(F.col("post0") >= F.col("post1"), 1).otherwise(2))
 
 
-def tissue_masks(pixels: DataFrame, nuclei_channel: int = 2, membrane_channel: int = 0, r0: int = 5, pct: float = 0.2, side: int = SIDE) -> DataFrame:
+def tissue_masks(pixels: DataFrame, nuclei_channel: int = 2, membrane_channel: int = 0, r0: int = 5, pct=(0.01, 0.01), side: int = SIDE) -> DataFrame:
     """All stages from the pixels of an image table to the ternary mask."""
     channels = two_channels(pixels, nuclei_channel, membrane_channel)
 

@@ -87,7 +87,7 @@ def disc_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def psf_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 50")
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").cast("int").alias("psf_id"), (F.col("p_size") % 5 * 2 + 7).cast("int").alias("xy_dim"), (F.col("p_size") % 3 + 1).cast("double").alias("xy_sigma"))
 
 
@@ -110,7 +110,7 @@ SQL = {
     "disc_stack": f"""disc_stack AS (SELECT image_id, z::INT AS z, y::INT AS y, x::INT AS x, max(label)::INT AS label FROM (
   SELECT image_id, z, xor(mask_id::INT, z::INT) + 1 AS label, cy + z + dy AS y, cx + z + dx AS x, r, dy, dx FROM ({_DISCS}), range(4) t(z), {_REACH})
   WHERE dy * dy + dx * dx <= r * r AND y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63 GROUP BY ALL)""",
-    "psf_settings": "psf_settings AS (SELECT p_partkey::INT AS psf_id, (p_size % 5 * 2 + 7)::INT AS xy_dim, (p_size % 3 + 1)::DOUBLE AS xy_sigma FROM part WHERE p_partkey < 50)",
+    "psf_settings": "psf_settings AS (SELECT p_partkey::INT AS psf_id, (p_size % 5 * 2 + 7)::INT AS xy_dim, (p_size % 3 + 1)::DOUBLE AS xy_sigma FROM part)",
 }
 
 

@@ -1,171 +1,281 @@
-"""Tiles: one row a plane or part of it, and kernels over them with halo exchange.
+"""Tiles: one row a plane, a volume or a part of it, and kernels over them with halo exchange.
 
-tiles: image_id, further slice columns, y0, x0, dy, dx, h, w, side, data
-(little-endian doubles in row order). h and w are the extents of the whole plane,
-side the spacing of its tiles. Rows of a tile are brought together by sorting
-within partitions and read as a stream, so small tiles cost no call each.
+Tiles of planes: image_id, further slice columns, y0, x0, dy, dx, h, w, side, data
+(little-endian doubles in row order). h and w are the extents of the whole plane, side
+the spacing of its tiles. Tiles of volumes also have z0, dz and d, and z is no slice
+column. Coordinates begin at 0. Rows of a tile are brought together by sorting within
+partitions and read as a stream; all tiles of a batch are packed and unpacked at once.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.functions.staging import shared_folder
 
-SIDE = 1024
-_BODY = "y0 int, x0 int, dy int, dx int, h int, w int, side int, data binary"
+#: Sides of tiles of planes and of volumes.
+SIDE, SIDE_3D = 1024, 128
+_SIZE = {"z": "d", "y": "h", "x": "w"}
+
+
+def axes(tiles: DataFrame) -> tuple[str, ...]:
+    """The axes that a kernel sees: y and x, or z, y and x."""
+    return ("z", "y", "x") if "z0" in tiles.columns else ("y", "x")
+
+
+def _numbers(dims: tuple[str, ...]) -> list[str]:
+    return [f"{c}0" for c in dims] + [f"d{c}" for c in dims] + [_SIZE[c] for c in dims] + ["side"]
 
 
 def _keys(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in ("y", "x", "value", "y0", "x0", "dy", "dx", "h", "w", "side", "data")]
+    dims = axes(df)
+    return [c for c in df.columns if c not in (*dims, "value", *_numbers(dims), "data")]
 
 
 def _fields(df: DataFrame, keys: list[str]) -> str:
-    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)
+
+
+def _body(dims: tuple[str, ...]) -> str:
+    return ", ".join(f"{c} int" for c in _numbers(dims)) + ", data binary"
+
+
+def array_of(data: bytes, *shape: int) -> np.ndarray:
+    return np.frombuffer(data, "<f8").reshape(shape)
+
+
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first differs from the one before."""
+    if column.null_count:
+        v = column.to_pylist()
+        return np.fromiter((a is not b and a != b for a, b in itertools.pairwise(v)), bool, len(v) - 1)
+    v = column.to_numpy()
+    return v[1:] != v[:-1]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows with the starts of their runs of equal keys, and the end; a run is never split."""
+
+    def cuts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows - 1, bool)
+        for c in by:
+            new |= _changes(table.column(c))
+        return np.flatnonzero(np.concatenate([[True], new]))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = held and any(held[0].column(held[0].schema.get_field_index(c))[0] != batch.column(batch.schema.get_field_index(c))[batch.num_rows - 1] for c in by)
+        held.append(batch)
+        if ends or len(held) == 1:
+            table = pa.Table.from_batches(held)
+            at = cuts(table)
+            if len(at) > 1:
+                yield table.slice(0, at[-1]), at
+                held = table.slice(at[-1]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.append(cuts(table), table.num_rows)
+
 
+def _ints(table, names) -> list[np.ndarray]:
+    return [table.column(c).to_numpy().astype(np.int64) for c in names]
 
-def array_of(data: bytes, dy: int, dx: int) -> np.ndarray:
-    return np.frombuffer(data, "<f8").reshape(dy, dx)
 
+def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive parts of ``flat`` (doubles), without copying each."""
+    flat = np.ascontiguousarray(flat, "<f8")
+    if flat.nbytes >= 1 << 31:
+        return pa.array([flat[a:b].tobytes() for a, b in itertools.pairwise(ends)], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(flat)])
 
-def to_tiles(pixels: DataFrame, side: int = SIDE) -> DataFrame:
-    """Dense pixels as tiles of at most ``side`` rows and columns."""
-    keys = _keys(pixels)
-    size = pixels.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    placed = pixels.join(size, keys).withColumn("y0", (F.expr(f"y div {side}") * side).cast("int")).withColumn("x0", (F.expr(f"x div {side}") * side).cast("int"))
 
-    at = [*keys, "y0", "x0"]
+def to_tiles(pixels: DataFrame, side: int | None = None, volume: bool = False) -> DataFrame:
+    """Dense pixels as tiles of at most ``side`` along each axis; ``volume``: z is an axis of the tiles and no slice column."""
+    dims = ("z", "y", "x") if volume else ("y", "x")
+    side = side or (SIDE_3D if volume else SIDE)
+    keys = [c for c in pixels.columns if c not in (*dims, "value")]
+    size = pixels.groupBy(*keys).agg(*((F.max(c) + 1).alias(_SIZE[c]) for c in dims))
+    placed = pixels.join(size, keys).withColumns({f"{c}0": (F.expr(f"{c} div {side}") * side).cast("int") for c in dims})
+    at = [*keys, *(f"{c}0" for c in dims)]
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in _runs(batches, at):
-            made = []
-            y, x, v = (rows[c].to_numpy() for c in ("y", "x", "value"))
-            heads = rows.iloc[cuts[:-1]]
-            for one, a, b in zip(heads.itertuples(index=False), cuts[:-1], cuts[1:], strict=True):
-                block = np.zeros((min(side, one.h - one.y0), min(side, one.w - one.x0)))
-                block[y[a:b] - one.y0, x[a:b] - one.x0] = v[a:b]
-                made.append((*(getattr(one, k) for k in at), *block.shape, one.h, one.w, side, block.astype("<f8").tobytes()))
-            yield pd.DataFrame(made, columns=[*at, "dy", "dx", "h", "w", "side", "data"])
-
-    dealt = placed.select(*at, "y", "x", "h", "w", "value").repartition(*(F.col(c) for c in at)).sortWithinPartitions(*at)
-    return dealt.mapInPandas(pack, f"{_fields(pixels, keys)}, {_BODY}")
-
-
-def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Sorted rows with the starts of their runs of equal keys (and the end); a run is never split."""
-    held = None
-    for rows in batches:
-        held = rows if held is None else pd.concat([held, rows], ignore_index=True)
-        cuts = _starts(held, by)
-        if len(cuts) > 1:
-            yield held.iloc[: cuts[-1]], np.append(cuts[:-1], cuts[-1])
-            held = held.iloc[cuts[-1] :].reset_index(drop=True)
-    if held is not None and len(held):
-        cuts = _starts(held, by)
-        yield held, np.append(cuts, len(held))
-
-
-def _starts(rows: pd.DataFrame, by: list[str]) -> np.ndarray:
-    if not len(rows):
-        return np.zeros(0, int)
-    new = np.zeros(len(rows), bool)
-    new[0] = True
-    for c in by:
-        v = rows[c].to_numpy()
-        new[1:] |= v[1:] != v[:-1]
-    return np.flatnonzero(new)
+            heads, n = rows.take(cuts[:-1]), np.diff(cuts)
+            low, whole = _ints(heads, [f"{c}0" for c in dims]), _ints(heads, [_SIZE[c] for c in dims])
+            shape = [np.minimum(side, w - a) for a, w in zip(low, whole, strict=True)]
+            ends = np.concatenate([[0], np.cumsum(np.prod(shape, axis=0))])
+            spot = np.zeros(rows.num_rows, np.int64)
+            for c, a, s in zip(dims, low, shape, strict=True):
+                spot = spot * np.repeat(s, n) + rows.column(c).to_numpy() - np.repeat(a, n)
+            flat = np.zeros(ends[-1])
+            flat[np.repeat(ends[:-1], n) + spot] = rows.column("value").to_numpy()
+            columns = [*(heads.column(k).combine_chunks() for k in keys), *(pa.array(v, pa.int32()) for v in (*low, *shape, *whole, np.full(len(n), side))), _binary(flat, ends)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *_numbers(dims), "data"])
+
+    dealt = placed.select(*at, *dims, *(_SIZE[c] for c in dims), F.col("value").cast("double").alias("value")).repartition(*(F.col(c) for c in at)).sortWithinPartitions(*at)
+    return dealt.mapInArrow(pack, _fields(pixels, keys) + _body(dims))
 
 
 def from_tiles(tiles: DataFrame) -> DataFrame:
-    keys = _keys(tiles)
+    keys, dims = _keys(tiles), axes(tiles)
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for one in rows.itertuples(index=False):
-                y, x = np.divmod(np.arange(one.dy * one.dx), one.dx)
-                yield pd.DataFrame({k: getattr(one, k) for k in keys} | {"y": y + one.y0, "x": x + one.x0, "value": np.frombuffer(one.data, "<f8")})
+            low, shape = (_ints(rows, [c.format(x) for x in dims]) for c in ("{}0", "d{}"))
+            n = np.prod(shape, axis=0)
+            first = np.cumsum(n) - n
+            spot, out = np.arange(n.sum()) - np.repeat(first, n), {}
+            for c, a, s in reversed(list(zip(dims, low, shape, strict=True))):
+                s = np.repeat(s, n)
+                out[c], spot = spot % s + np.repeat(a, n), spot // s
+            values = np.concatenate([np.frombuffer(x.as_buffer(), "<f8") for x in rows.column("data")]) if rows.num_rows else np.zeros(0)
+            row = pa.array(np.repeat(np.arange(rows.num_rows), n))
+            yield pa.RecordBatch.from_arrays([*(rows.column(k).take(row) for k in keys), *(pa.array(out[c], pa.int32()) for c in dims), pa.array(values)], [*keys, *dims, "value"])
+
+    return tiles.select(*keys, *_numbers(dims), "data").mapInArrow(unpack, _fields(tiles, keys) + ", ".join(f"{c} int" for c in dims) + ", value double")
 
-    return tiles.mapInPandas(unpack, f"{_fields(tiles, keys)}, y int, x int, value double")
+
+def _made(heads, keys: list[str], dims: tuple[str, ...], numbers: list[tuple], blocks: list[np.ndarray]) -> pa.RecordBatch:
+    data = pa.array([np.ascontiguousarray(b, "<f8").tobytes() for b in blocks], pa.binary())
+    return pa.RecordBatch.from_arrays([*(heads.column(k) for k in keys), *(pa.array(c, pa.int32()) for c in zip(*numbers, strict=True)), data], [*keys, *_numbers(dims), "data"])
 
 
 def apply_whole(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """A kernel on tiles that are whole planes; a plane in parts is an error."""
-    keys = _keys(tiles)
+    """A kernel on tiles that are whole planes or volumes; one in parts is an error."""
+    keys, dims = _keys(tiles), axes(tiles)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            if ((rows["dy"] != rows["h"]) | (rows["dx"] != rows["w"])).any():
-                raise ValueError("this operator needs whole planes: make tiles of at least their size")
-            rows["data"] = [np.asarray(kernel(array_of(d, dy, dx)), "<f8").tobytes() for d, dy, dx in zip(rows["data"], rows["dy"], rows["dx"], strict=True)]
-            yield rows
+            numbers = list(zip(*(x.tolist() for x in _ints(rows, _numbers(dims))), strict=True))
+            blocks = [np.asarray(kernel(block)) for block in whole_blocks(rows, dims)]
+            if blocks:
+                yield _made(rows, keys, dims, numbers, blocks)
 
-    return tiles.select(*keys, "y0", "x0", "dy", "dx", "h", "w", "side", "data").mapInPandas(run, f"{_fields(tiles, keys)}, {_BODY}")
+    return tiles.select(*keys, *_numbers(dims), "data").mapInArrow(run, _fields(tiles, keys) + _body(dims))
 
 
-def apply_halo(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], halo: int) -> DataFrame:
-    """A kernel that looks ``halo`` pixels far, on tiles of any size.
+def whole_blocks(rows, dims: tuple[str, ...]) -> Iterator[np.ndarray]:
+    """The arrays of tiles that are whole; one in parts is an error."""
+    shape, whole = (np.stack(_ints(rows, names), axis=1) for names in ([f"d{c}" for c in dims], [_SIZE[c] for c in dims]))
+    if (shape != whole).any():
+        raise ValueError("this operator needs whole planes or volumes: make tiles of at least their size")
+    return (array_of(x.as_buffer(), *s) for x, s in zip(rows.column("data"), shape.tolist(), strict=True))
 
-    Each tile is sent to itself, and the part of it within the halo of a
-    neighbour to that neighbour, so the shuffle carries the data and the rims. The
-    kernel pads true borders by its own rule; what it makes up inside is cut off.
+
+def _assembled(tiles: DataFrame, halo: int, extra: str | None, make: Callable, schema: str) -> DataFrame:
+    """Tiles with their halo, brought together; ``make(heads, keys, dims, numbers, blocks, insides, extras)`` turns each batch of them into rows.
+
+    Each tile is sent to itself, and the part of it within the halo of a neighbour to
+    that neighbour, so the shuffle carries the data and the rims. ``extra`` is a column
+    that goes along.
     """
-    keys = _keys(tiles)
-    at = [*keys, "ty", "tx"]
+    dims = axes(tiles)
+    keys = [k for k in _keys(tiles) if k != extra]
+    more = [extra] if extra else []
+    to, names = [f"t{c}" for c in dims], _numbers(dims)
+    at = [*keys, *to]
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            made = []
-            for one in rows.itertuples(index=False):
-                block, sy, sx, parts = array_of(one.data, one.dy, one.dx), one.side, one.side, []
-                for ty in range(max(0, one.y0 - halo) // sy * sy, min(one.h, one.y0 + one.dy + halo), sy):
-                    for tx in range(max(0, one.x0 - halo) // sx * sx, min(one.w, one.x0 + one.dx + halo), sx):
-                        top, bottom = max(one.y0, ty - halo), min(one.y0 + one.dy, ty + sy + halo)
-                        left, right = max(one.x0, tx - halo), min(one.x0 + one.dx, tx + sx + halo)
-                        if top < bottom and left < right:
-                            piece = block[top - one.y0 : bottom - one.y0, left - one.x0 : right - one.x0]
-                            parts.append((ty, tx, top, left, bottom - top, right - left, one.h, one.w, sy, piece.tobytes()))
-                made += [(*(getattr(one, k) for k in keys), *p) for p in parts]
-            yield pd.DataFrame(made, columns=[*at, *body])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            source, numbers, data = [], [], []
+            heads = zip(*(x.tolist() for x in _ints(rows, names)), strict=True)
+            for i, (head, raw) in enumerate(zip(heads, rows.column("data"), strict=True)):
+                k = len(dims)
+                low, shape, whole, side = head[:k], head[k : 2 * k], head[2 * k : 3 * k], head[-1]
+                if tuple(shape) == tuple(whole):
+                    source.append(i)
+                    numbers.append((*low, *head))
+                    data.append(raw.as_py())
+                    continue
+                block = array_of(raw.as_buffer(), *shape)
+                near = [range(max(0, a - halo) // side * side, min(w, a + s + halo), side) for a, s, w in zip(low, shape, whole, strict=True)]
+                for there in itertools.product(*near):
+                    begin = [max(a, t - halo) for a, t in zip(low, there, strict=True)]
+                    end = [min(a + s, t + side + halo) for a, s, t in zip(low, shape, there, strict=True)]
+                    if all(a < b for a, b in zip(begin, end, strict=True)):
+                        piece = block[tuple(slice(a - o, b - o) for a, b, o in zip(begin, end, low, strict=True))]
+                        source.append(i)
+                        numbers.append((*there, *begin, *piece.shape, *whole, side))
+                        data.append(piece.tobytes())
+            if source:
+                index = pa.array(source)
+                columns = [*(rows.column(c).take(index) for c in (*keys, *more)), *(pa.array(c, pa.int32()) for c in zip(*numbers, strict=True)), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, *more, *to, *names, "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in _runs(batches, at):
-            made = []
-            parts = list(rows.itertuples(index=False))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                one = parts[a]
-                ty, tx, h, w, side = one.ty, one.tx, one.h, one.w, one.side
-                top, left, bottom, right = max(0, ty - halo), max(0, tx - halo), min(h, ty + side + halo), min(w, tx + side + halo)
-                block = np.zeros((bottom - top, right - left))
-                for r in parts[a:b]:
-                    block[r.y0 - top : r.y0 - top + r.dy, r.x0 - left : r.x0 - left + r.dx] = array_of(r.data, r.dy, r.dx)
-                dy, dx = min(side, h - ty), min(side, w - tx)
-                out = np.ascontiguousarray(np.asarray(kernel(block), "<f8")[ty - top : ty - top + dy, tx - left : tx - left + dx])
-                made.append((*(getattr(one, k) for k in keys), ty, tx, dy, dx, h, w, side, out.tobytes()))
-            yield pd.DataFrame(made, columns=[*keys, *body])
-
-    body = ["y0", "x0", "dy", "dx", "h", "w", "side", "data"]
-    sent = tiles.select(*keys, *body).mapInPandas(spread, f"{_fields(tiles, keys)}, ty int, tx int, {_BODY}")
-    return sent.repartition(*(F.col(c) for c in at)).sortWithinPartitions(*at).mapInPandas(run, f"{_fields(tiles, keys)}, {_BODY}")
+            k, numbers, blocks, insides = len(dims), [], [], []
+            parts = list(zip(*(x.tolist() for x in _ints(rows, [*to, *names])), strict=True))
+            data = rows.column("data")
+            for a, b in itertools.pairwise(cuts.tolist()):
+                there, whole, side = parts[a][:k], parts[a][3 * k : 4 * k], parts[a][-1]
+                low, high = [max(0, t - halo) for t in there], [min(w, t + side + halo) for t, w in zip(there, whole, strict=True)]
+                block = np.zeros([h - o for o, h in zip(low, high, strict=True)])
+                for i in range(a, b):
+                    begin, shape = parts[i][k : 2 * k], parts[i][2 * k : 3 * k]
+                    block[tuple(slice(p - o, p - o + s) for p, o, s in zip(begin, low, shape, strict=True))] = array_of(data[i].as_buffer(), *shape)
+                shape = [min(side, w - t) for t, w in zip(there, whole, strict=True)]
+                numbers.append((*there, *shape, *whole, side))
+                blocks.append(block)
+                insides.append(tuple(slice(t - o, t - o + s) for t, o, s in zip(there, low, shape, strict=True)))
+            heads = rows.take(cuts[:-1]).combine_chunks()
+            yield make(heads, keys, dims, numbers, blocks, insides, heads.column(extra).to_pylist() if extra else [None] * len(blocks))
+
+    fields = _fields(tiles, [*keys, *more])
+    sent = tiles.select(*keys, *more, *names, "data").mapInArrow(spread, fields + "".join(f"{c} int, " for c in to) + _body(dims))
+    return sent.repartition(*(F.col(c) for c in at)).sortWithinPartitions(*at).mapInArrow(run, _fields(tiles, keys) + schema)
+
+
+def apply_halo(tiles: DataFrame, kernel: Callable[..., np.ndarray], halo: int, extra: str | None = None) -> DataFrame:
+    """A kernel that looks ``halo`` far along each axis, on tiles of any size.
+
+    The kernel pads true borders by its own rule; what it makes up inside is cut off.
+    With ``extra`` it also gets the tile's value of that column.
+    """
+
+    def make(heads, keys, dims, numbers, blocks, insides, extras) -> pa.RecordBatch:
+        done = [np.asarray(kernel(b, e) if extra else kernel(b))[i] for b, i, e in zip(blocks, insides, extras, strict=True)]
+        return _made(heads.combine_chunks().to_batches()[0], keys, dims, numbers, done)
+
+    return _assembled(tiles, halo, extra, make, _body(axes(tiles)))
+
+
+def largest(tiles: DataFrame, kernel: Callable[[np.ndarray], list[np.ndarray]], halo: int) -> DataFrame:
+    """(keys, largest): the maximum over the whole plane or volume of each array that the kernel makes."""
+
+    def make(heads, keys, dims, numbers, blocks, insides, extras) -> pa.RecordBatch:
+        most = [[float(a[i].max()) for a in kernel(b)] for b, i in zip(blocks, insides, strict=True)]
+        return pa.RecordBatch.from_arrays([*(heads.column(k).combine_chunks() for k in keys), pa.array(most, pa.list_(pa.float64()))], [*keys, "largest"])
+
+    keys = _keys(tiles)
+    each = _assembled(tiles, halo, None, make, "largest array<double>").select(*keys, F.posexplode("largest").alias("i", "v"))
+    tops = each.groupBy(*keys, "i").agg(F.max("v").alias("v")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("largest"))
+    return tops.withColumn("largest", F.col("largest.v"))
 
 
 def read_pictures(spark: SparkSession, path: str) -> DataFrame:
     """Picture files as pixels (image_id: hash of the path, c, y, x, value); blue-green-red order becomes red-green-blue."""
     files = spark.read.format("image").option("dropInvalid", True).load(path).select(F.xxhash64("image.origin").alias("image_id"), "image.width", "image.nChannels", "image.data")
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for one in rows.itertuples(index=False):
-                values = np.frombuffer(one.data, np.uint8).astype(float)
-                i, n = np.arange(len(values)), one.nChannels
+            for k in range(rows.num_rows):
+                one, width, n, data = (rows.column(i)[k].as_py() for i in range(4))
+                values = np.frombuffer(data, np.uint8).astype(float)
+                i = np.arange(len(values))
                 c = i % n if n == 1 else np.where(i % n < 3, 2 - i % n, 3)
-                yield pd.DataFrame({"image_id": one.image_id, "c": c, "y": i // (n * one.width), "x": i // n % one.width, "value": values})
+                columns = [pa.array(np.full(len(i), one)), *(pa.array(v, pa.int32()) for v in (c, i // (n * width), i // n % width)), pa.array(values)]
+                yield pa.RecordBatch.from_arrays(columns, ["image_id", "c", "y", "x", "value"])
 
-    return files.mapInPandas(unpack, "image_id long, c int, y int, x int, value double")
+    return files.mapInArrow(unpack, "image_id long, c int, y int, x int, value double")
 
 
 def write_table(df: DataFrame, path: str, buckets: int = 64) -> None:
