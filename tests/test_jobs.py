@@ -155,9 +155,9 @@ def test_workflows_take_functions(spark):
 
     workflows.connect_2d_in_3d(px, own("n"), own("s"), own("c"), {"a": 1}, None, {"b": 2})
     assert calls == [("n", {"a": 1}), ("s", {}), ("c", {"b": 2})]
-    plane = table(spark, stack[:, 0], ["image_id", "y", "x"])
+    plane = table(spark, two_levels(1, 16, 16), ["image_id", "y", "x"])
     found, masked = workflows.detect_then_mask(plane)
-    assert found.count() == 1 and masked.count() > 0
+    assert found.count() >= 1 and masked.count() > 0
     none, empty = workflows.detect_then_mask(plane, lambda p: boxes.nms(models.classical_boxes(p), 2.0))
     assert none.count() == empty.count() == 0
     tiles = t.to_tiles(plane)
