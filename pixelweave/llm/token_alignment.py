@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from pixelweave.functions.staging import staged
 
 #: Characters of text in a block, and in a call of the tokenizers; a longer text is a block of its own.
-BLOCK_CHARS, CALL_CHARS = 32_000_000, 400_000
+BLOCK_CHARS, CALL_CHARS = 12_000_000, 400_000
 #: Pieces aligned by one pair of merges.
-PIECES_A_MERGE = 40_000
+PIECES_A_MERGE = 20_000
 #: An id pair is A's id times this plus B's id.
 B_IDS = 1 << 15
 _CUT, _ODD = re.compile(r"(?<=\S) "), re.compile(r"\s ")
