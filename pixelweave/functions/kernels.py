@@ -355,39 +355,64 @@ DELTA = 1e-6
 
 
 class Blur:
-    """Circular convolution of a stack of images with one centred kernel, and its transpose, by real FFTs over the image axes."""
+    """Circular convolution of a stack of images with one centred kernel, or one each, and its transpose, by real FFTs over the image axes."""
 
-    def __init__(self, kernel: np.ndarray):
-        self.shape, self.axes = kernel.shape, tuple(range(-kernel.ndim, 0))
-        self.transfer = np.fft.rfftn(np.fft.ifftshift(kernel))
+    def __init__(self, kernel: np.ndarray, dims: int | None = None):
+        dims = dims or kernel.ndim
+        self.shape, self.axes = kernel.shape[-dims:], tuple(range(-dims, 0))
+        self.transfer = np.fft.rfftn(np.fft.ifftshift(kernel, axes=self.axes), axes=self.axes)
 
     def __call__(self, stack: np.ndarray, transposed: bool = False) -> np.ndarray:
         transfer = self.transfer.conj() if transposed else self.transfer
         return np.fft.irfftn(np.fft.rfftn(stack, axes=self.axes) * transfer, s=self.shape, axes=self.axes)
 
 
-def richardson_lucy(image: np.ndarray, psf: np.ndarray, num_iters: int = 10, noncirc: bool = False, mask: np.ndarray | None = None) -> np.ndarray:
+def frame_of(extent: tuple[int, ...], reach: tuple[int, ...], noncirc: bool) -> tuple[int, ...]:
+    """Extents in which images of ``extent`` are deconvolved by a PSF of extents ``reach``."""
+    from pixelweave.operators.psf import next_smooth
+
+    return tuple(next_smooth(n + 2 * (p // 2)) if noncirc else max(n, p) for n, p in zip(extent, reach, strict=True))
+
+
+def richardson_lucy(
+    image: np.ndarray, psf: np.ndarray, num_iters: int = 10, noncirc: bool = False, mask: np.ndarray | None = None, start: float | None = None, blur: Blur | None = None, dims: int | None = None
+) -> np.ndarray:
     """Iterative deconvolution of an image, or of a stack of them along a first axis, by a PSF of the image's dimensions.
 
-    Masked pixels count as unseen and come back unchanged. Divisors and estimates stay at ``DELTA`` or above.
+    With ``dims`` the PSF may be a stack too, one for each image. Masked pixels count as unseen and
+    come back unchanged. Divisors and estimates stay at ``DELTA`` or above. The first guess is flat, at
+    the mean of the padded image or at ``start``. ``blur``: one made before for this PSF and frame.
     """
-    from pixelweave.operators.psf import next_smooth
-
-    dims = psf.ndim
+    dims = dims or psf.ndim
     stack = image.astype(float).reshape(-1, *image.shape[-dims:])
     seen = np.ones(stack.shape) if mask is None else np.broadcast_to(mask.astype(float), image.shape).reshape(stack.shape)
-    extent = stack.shape[1:]
-    size = tuple(next_smooth(n + 2 * (p // 2)) if noncirc else max(n, p) for n, p in zip(extent, psf.shape, strict=True))
-    blur, frame = Blur(pad_centred(psf.astype(float), size)), (len(stack), *size)
+    extent, reach = stack.shape[1:], psf.shape[-dims:]
+    size = frame_of(extent, reach, noncirc)
+    blur, frame = blur or Blur(pad_centred(psf.astype(float), (*psf.shape[:-dims], *size)), dims), (len(stack), *size)
     observed, share = pad_centred(stack * seen, frame), blur(pad_centred(seen, frame), transposed=True)
     gain = 1.0 / np.where(share < DELTA, 1.0, share)
 
     def positive(x: np.ndarray, least: float) -> np.ndarray:
         return np.where(x < least, DELTA, x)
 
-    guess = np.broadcast_to(observed.mean(axis=blur.axes, keepdims=True), frame)
+    first = observed.mean(axis=blur.axes, keepdims=True) if start is None else np.full((1,) * observed.ndim, start)
+    guess = np.broadcast_to(first, frame)
     for _ in range(num_iters):
         excess = observed / positive(blur(guess), DELTA)
         guess = positive(guess * gain * positive(blur(excess, transposed=True), 0.0), 0.0)
     out = crop_centred(guess, stack.shape)
     return (out if mask is None else np.where(seen > 0, out * seen + stack * (1 - seen), stack)).reshape(image.shape)
+
+
+def fade(low: int, high: int, ramp: int, whole: int) -> np.ndarray:
+    """Weights of positions ``low`` - ramp to ``high`` + ramp (cut at 0 and ``whole``) of a block from ``low`` to ``high``: its neighbours' and its own add up to 1.
+
+    They rise and fall over ``ramp`` pixels on both sides of a border with a neighbour; true borders have none.
+    """
+    x = np.arange(max(0, low - ramp), min(whole, high + ramp)) + 0.5
+    w = np.ones(len(x))
+    if ramp and low > 0:
+        w = np.minimum(w, np.clip((x - (low - ramp)) / (2 * ramp), 0, 1))
+    if ramp and high < whole:
+        w = np.minimum(w, np.clip((high + ramp - x) / (2 * ramp), 0, 1))
+    return w

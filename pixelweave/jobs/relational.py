@@ -99,6 +99,20 @@ pk AS (SELECT image_id, max(n) AS top, arg_min(b, (-n, b)) AS pk FROM f GROUP BY
 ds AS (SELECT image_id, b, (pk - lo) > (hi - pk) AS lf, CASE WHEN (pk - lo) > (hi - pk) AND b < pk THEN top * (b - lo) - (pk - lo) * n
   WHEN NOT (pk - lo) > (hi - pk) AND b > pk THEN top * (hi - b) - (hi - pk) * n END AS dd FROM f JOIN pk USING (image_id))
 SELECT image_id, coalesce(arg_min(b, (-dd, CASE WHEN lf THEN b ELSE -b END)) FILTER (dd IS NOT NULL), max(b)) AS cut FROM ds GROUP BY ALL""")
+_BINS = """, e AS (SELECT image_id, min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 256 AS wd FROM px8f GROUP BY ALL),
+bins AS (SELECT image_id, y, x, p.value AS value, CASE WHEN wd > 0 THEN lo + (least(255, floor((p.value - lo) / nullif(wd, 0))) + 0.5::DOUBLE) * wd ELSE lo END AS b FROM px8f p JOIN e USING (image_id))"""
+_RUN_F = _RUN.replace("h AS (SELECT image_id, value AS b, count(*) AS n FROM px8 GROUP BY ALL)", "h AS (SELECT image_id, b, count(*) AS n FROM bins GROUP BY ALL)")
+_CUT_F = "SELECT image_id, round(coalesce(arg_min(b, (-s, b)) FILTER (s IS NOT NULL), max(b)), 6) AS cut FROM sc GROUP BY ALL"
+for _m, _score in (("otsu", "pow((s0 + s1) * n0 - (n0 + n1) * s0, 2) / (n0 * n1)::DOUBLE"), ("yen", "pow(n0 * n1, 2)::DOUBLE / (q0 * q1)::DOUBLE")):
+    _add(f"T{dict(otsu=1, yen=7)[_m]}_{_m}_float", lambda s, p, m=_m: threshold.cuts(d.px8f(s, p), m).select("image_id", r6("cut").alias("cut")), "px8f",
+         _BINS + _RUN_F + f", sc AS (SELECT image_id, b, CASE WHEN n1 > 0 THEN {_score} END AS s FROM r)" + _CUT_F)
+_add("T2_isodata_float", lambda s, p: threshold.cuts(d.px8f(s, p), "isodata").select("image_id", r6("cut").alias("cut")), "px8f",
+     _BINS + _RUN_F + "SELECT image_id, round(coalesce(min(b) FILTER (s0 / n0 + s1 / nullif(n1, 0) >= 2 * b AND s0 / n0 + s1 / nullif(n1, 0) < 2 * nx), max(b)), 6) AS cut FROM r GROUP BY ALL")
+_PAIR_F = """, c AS (
+  SELECT i.image_id, i.b AS low, j.b AS high, row_number() OVER (PARTITION BY i.image_id ORDER BY i.s0 * i.s0 / i.n0 + (j.s0 - i.s0) * (j.s0 - i.s0) / (j.n0 - i.n0) + j.s1 * j.s1 / j.n1 DESC, i.b, j.b) AS k
+  FROM r i JOIN r j ON i.image_id = j.image_id AND i.b < j.b AND j.n1 > 0)
+SELECT u.image_id, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT DISTINCT image_id FROM px8f) u LEFT JOIN c ON u.image_id = c.image_id AND k = 1"""
+_add("T8_multiotsu_float", lambda s, p: threshold.multiotsu_cuts(d.px8f(s, p)).select("image_id", r6(F.col("cuts")[0]).alias("low"), r6(F.col("cuts")[1]).alias("high")), "px8f", _BINS + _RUN_F + _PAIR_F)
 QUERIES["T3_li"] = lambda s, p: threshold.cuts(d.px8(s, p), "li")
 QUERIES["T5_minimum"] = lambda s, p: threshold.cuts(d.px8(s, p), "minimum")
 _add("T8_multiotsu", lambda s, p: threshold.multiotsu_cuts(d.px8(s, p)).select("image_id", F.col("cuts")[0].alias("low"), F.col("cuts")[1].alias("high")), "px8", _RUN + """, c AS (
@@ -158,9 +172,9 @@ _add("B4_iou_pairs", lambda s, p: boxes.iou_pairs(_disc_boxes(s, p), 0.3).withCo
   (p.max_y - p.min_y) * (p.max_x - p.min_x) + (q.max_y - q.min_y) * (q.max_x - q.min_x) AS ar FROM bx p JOIN bx q ON p.image_id = q.image_id AND p.box_id < q.box_id)
 SELECT image_id, a, b, round(h * w / (ar - h * w), 6) AS iou FROM pr WHERE h > 0 AND w > 0 AND h * w / (ar - h * w) > 0.3""")
 QUERIES["B4_nms"] = lambda s, p: boxes.nms(_disc_boxes(s, p), 0.2, 0.5, 50)
-_add("B5_box_pixels", lambda s, p: boxes.box_pixels(_disc_boxes(s, p).where("box_id < 5"), d.disc_stack(s, p).where("z = 0")).groupBy("image_id", "box_id").agg(F.count(F.lit(1)).alias("pixels"), F.countDistinct("label").alias("objects")),
-     "discs disc_stack", _BOX + """SELECT b.image_id, b.box_id, count(*) AS pixels, count(DISTINCT label) AS objects FROM bx b JOIN disc_stack t ON t.image_id = b.image_id AND z = 0
-  AND y >= min_y AND y < max_y AND x >= min_x AND x < max_x WHERE box_id < 5 GROUP BY ALL""")
+_add("B5_box_pixels", lambda s, p: boxes.box_pixels(_disc_boxes(s, p), d.disc_stack(s, p)).groupBy("image_id", "box_id", "z").agg(F.count(F.lit(1)).alias("pixels"), F.countDistinct("label").alias("objects")),
+     "discs disc_stack", _BOX + """SELECT b.image_id, b.box_id, z, count(*) AS pixels, count(DISTINCT label) AS objects FROM bx b JOIN disc_stack t ON t.image_id = b.image_id
+  AND y >= min_y AND y < max_y AND x >= min_x AND x < max_x GROUP BY ALL""")
 
 # masks
 _add("M1_as_masks", lambda s, p: masks.as_masks(d.vol(s, p)).drop("value"), "vol", "SELECT image_id, z, y, x FROM vol WHERE value <> 0")

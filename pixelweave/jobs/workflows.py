@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.operators import axes, boxes, filters, intensity, labels, masks, models, psf, threshold, tissue
 from pixelweave.operators.components import label
-from pixelweave.operators.deconvolve import richardson_lucy
+from pixelweave.operators.deconvolve import richardson_lucy, richardson_lucy_tiles
 from pixelweave.sources import derived as d
 from pixelweave.sources import tiles as t
 
@@ -35,8 +35,8 @@ def connect_2d_in_3d(
 
 
 def bright_objects(pixels: DataFrame, min_size: int = 4, conf: float = 0.0, iou: float = 0.9, max_det: int = 300) -> DataFrame:
-    """Boxes of bright objects, the detector that needs no model."""
-    return boxes.nms(models.classical_boxes(pixels, min_size), conf, iou, max_det)
+    """Boxes of bright objects of each plane, the detector that needs no model."""
+    return boxes.nms(models.classical_boxes(pixels, min_size), conf, iou, max_det, boxes.slices(pixels))
 
 
 def detect_then_mask(
@@ -79,6 +79,11 @@ def _with_psf(spark, sf_dir) -> DataFrame:
     return _tiles(spark, sf_dir).withColumn("psf_id", (F.col("image_id") % 200).cast("int"))
 
 
+def _grid_with_psf(spark, sf_dir) -> DataFrame:
+    """The planes of the volumes in 4 x 4 tiles each."""
+    return t.to_tiles(d.vol(spark, sf_dir), 8).withColumn("psf_id", (F.col("image_id") % 200).cast("int"))
+
+
 def _settings(spark, sf_dir) -> DataFrame:
     return d.psf_settings(spark, sf_dir)
 
@@ -124,10 +129,13 @@ QUERIES = {
     "L3_connect": lambda s, p: labels.connect(d.disc_stack(s, p)),
     "T8_multiotsu_classes": lambda s, p: threshold.multiotsu(d.px8(s, p)),
     "D10_richardson_lucy": lambda s, p: richardson_lucy(_with_psf(s, p), psf.gaussian(_settings(s, p)), 10),
+    "D10_tiles": lambda s, p: t.from_tiles(richardson_lucy_tiles(_grid_with_psf(s, p), psf.gaussian(_settings(s, p)), 3, 8).drop("psf_id")),
     "N1_segment": lambda s, p: models.segment_with(_tiles(s, p), _mean_model),
     "N2_detect": lambda s, p: models.detect_with(_tiles(s, p), _one_box_model),
     "N3_mask": lambda s, p: models.mask_with(_tiles(s, p), models.detect_with(_tiles(s, p), _one_box_model), _box_mask_model)[0],
     "N4_classical_boxes": lambda s, p: models.classical_boxes(d.px8(s, p), 2),
+    "N4_classical_boxes_stack": lambda s, p: models.classical_boxes(d.vol(s, p), 3).withColumn("score", F.round("score", 6)),
+    "N5_classical_masks_stack": lambda s, p: models.classical_masks(d.vol(s, p), _plane_boxes(s, p)),
     "U2_foreground": lambda s, p: tissue.foreground_probability(tissue.two_channels(_tissue(s, p), 2, 0)),
     "U4_local_masks": lambda s, p: tissue.local_masks(tissue.two_channels(_tissue(s, p), 2, 0), 3),
     "U9_nuclei": lambda s, p: tissue.nuclei(tissue.tissue_masks(_tissue(s, p), 2, 0, 3), 2),
@@ -160,6 +168,10 @@ def _part_boxes(spark, sf_dir) -> DataFrame:
                        (p * 7 % 20 + 10).cast("int").alias("max_y"), (p * 5 % 20 + 12).cast("int").alias("max_x"))
 
 
+def _plane_boxes(spark, sf_dir) -> DataFrame:
+    return _part_boxes(spark, sf_dir).select((F.expr("image_id div 7")).alias("image_id"), (F.col("image_id") % 7 + 1).cast("int").alias("z"), "box_id", "min_y", "min_x", "max_y", "max_x")
+
+
 def _marks(spark, sf_dir) -> DataFrame:
     """A wide table of two channels with simple masks and probabilities, as input of the later tissue stages."""
     wide = tissue.widened(tissue.two_channels(_tissue(spark, sf_dir), 2, 0))
@@ -199,6 +211,7 @@ SELECT image_id, c, y, x, (value <> 0 AND value >= 0.9::DOUBLE * m - 1e-12) AS v
     "U7_posterior": d.with_sql("rgb", _UNIT + "SELECT image_id, y, x, round(post0, 6) AS post0, round(post1, 6) AS post1 FROM po"),
     "U8_ternary": d.with_sql("rgb", _UNIT + "SELECT image_id, y, x, CASE WHEN post0 + post1 = 0 THEN 0 WHEN post0 >= post1 THEN 1 ELSE 2 END AS kind FROM po"),
     "N5_classical_masks": d.with_sql("vol", _BX + "SELECT image_id, box_id AS mask_id, y, x FROM px JOIN cut USING (image_id, box_id) WHERE value > cut"),
+    "N5_classical_masks_stack": d.with_sql("vol", _BX + "SELECT image_id // 7 AS image_id, (image_id % 7 + 1)::INT AS z, box_id AS mask_id, y, x FROM px JOIN cut USING (image_id, box_id) WHERE value > cut"),
 }
 
 
@@ -222,3 +235,14 @@ SQL |= {
     "N2_detect": d.with_sql("px8", """SELECT image_id, 0 AS box_id, 0::FLOAT AS min_y, 0::FLOAT AS min_x, 8::FLOAT AS max_y, 8::FLOAT AS max_x, stddev_pop(value) AS score FROM px8 GROUP BY image_id HAVING stddev_pop(value) >= 0.4"""),
     "N3_mask": d.with_sql("px8", _ABOVE_MEAN + " SELECT image_id, 0 AS mask_id, y, x FROM s"),
 }
+_OTSU_PLANES = """, h AS (SELECT image_id, z, value AS b, count(*) AS n FROM vol GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER w AS n0, sum(n * b) OVER w AS s0, sum(n) OVER v - sum(n) OVER w AS n1, sum(n * b) OVER v - sum(n * b) OVER w AS s1
+  FROM h WINDOW w AS (PARTITION BY image_id, z ORDER BY b ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY image_id, z)),
+sc AS (SELECT *, CASE WHEN n1 > 0 THEN pow((s0 + s1) * n0 - (n0 + n1) * s0, 2) / (n0 * n1)::DOUBLE END AS s FROM r),
+cut AS (SELECT image_id, z, coalesce(arg_min(b, (-s, b)) FILTER (s IS NOT NULL), max(b)) AS cut FROM sc GROUP BY ALL),
+s AS (SELECT image_id, z, y, x, value FROM vol JOIN cut USING (image_id, z) WHERE value > cut)"""
+SQL |= {
+    "N4_classical_boxes_stack": _recursive(d.with_sql("vol", _OTSU_PLANES + _components_sql("s", "image_id, z", "y, x", "y, x") + """, pk AS (SELECT image_id, z, greatest(max(value), 1e-20) AS peak FROM vol GROUP BY ALL)
+SELECT image_id, z, (label - 1)::INT AS box_id, min(y) AS min_y, min(x) AS min_x, max(y) + 1 AS max_y, max(x) + 1 AS max_x, round(avg(value) / max(peak), 6) AS score
+FROM labelled JOIN pk USING (image_id, z) GROUP BY image_id, z, label HAVING count(*) >= 3""")),
+}

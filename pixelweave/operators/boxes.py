@@ -41,33 +41,71 @@ def from_vertices(rows: DataFrame, vertices: str = "corners") -> DataFrame:
     }).drop(vertices)
 
 
-def _cells(boxes: DataFrame, cell: int) -> DataFrame:
-    """A row for each grid cell that a box reaches."""
-    last = lambda side: F.greatest(F.floor(F.col(f"min_{side}") / cell), F.ceil(F.col(f"max_{side}") / cell) - 1)
-    spread = lambda side: F.explode(F.sequence(F.floor(F.col(f"min_{side}") / cell), last(side)))
-    return boxes.withColumn("cell_y", spread("y")).withColumn("cell_x", spread("x"))
+#: The finest level of the grid has cells of this many pixels, the next ones twice as many each.
+FINEST = 16
 
 
-def box_pixels(boxes: DataFrame, pixels: DataFrame, cell: int = 16) -> DataFrame:
-    """Pixels inside each box: a join on grid cells, then the exact test."""
-    spread = _cells(boxes.select("image_id", "box_id", *SIDES), cell)
-    placed = pixels.withColumn("cell_y", F.expr(f"y div {cell}")).withColumn("cell_x", F.expr(f"x div {cell}"))
+def slices(*tables: DataFrame) -> list[str]:
+    """image_id and the slice columns (t, c, z) that all of the tables have."""
+    return ["image_id", *(c for c in ("t", "c", "z") if all(c in x.columns for x in tables))]
+
+
+def _level() -> Column:
+    """The level of the grid whose cells are as large as a box: there it lies in two cells at most along an axis."""
+    side = F.greatest(F.col("max_y") - F.col("min_y"), F.col("max_x") - F.col("min_x"), F.lit(1)).cast("double")
+    return F.greatest(F.lit(0), F.ceil(F.log2(side / FINEST) - 1e-12)).cast("int")
+
+
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value.cast("double") / (F.pow(F.lit(2.0), level) * FINEST)).cast("long")
+
+
+def _placed(boxes: DataFrame, level: str = "level") -> DataFrame:
+    """A row for each of the cells (four at most) of a level, its own or a coarser one, that a box reaches."""
+    def along(side: str) -> Column:
+        size = F.pow(F.lit(2.0), F.col(level)) * FINEST
+        first = _cell(F.col(f"min_{side}"), F.col(level))
+        return F.explode(F.sequence(first, F.greatest(first, (F.ceil(F.col(f"max_{side}").cast("double") / size) - 1).cast("long"))))
+
+    return boxes.withColumn("cell_y", along("y")).withColumn("cell_x", along("x"))
+
+
+def _levels(boxes: DataFrame, per: list[str]) -> DataFrame:
+    """(key, levels): those that an image's boxes have, some thirty at most."""
+    return boxes.groupBy(*per).agg(F.collect_set(_level()).alias("levels"))
+
+
+def box_pixels(boxes: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Pixels inside each box: a join on the cells of each box's own level, then the exact test.
+
+    A box has four rows at most, whatever its size, and a pixel one for each level
+    that boxes of its image have. Slice columns (t, c, z) that both tables have must agree.
+    """
+    per = slices(boxes, pixels)
+    spread = _placed(boxes.select(*per, "box_id", *SIDES).withColumn("level", _level()))
+    near = pixels.join(_levels(boxes, per), per).withColumn("level", F.explode("levels")).drop("levels")
+    near = near.withColumn("cell_y", _cell(F.col("y"), F.col("level"))).withColumn("cell_x", _cell(F.col("x"), F.col("level")))
     inside = (F.col("y") >= F.col("min_y")) & (F.col("y") < F.col("max_y")) & (F.col("x") >= F.col("min_x")) & (F.col("x") < F.col("max_x"))
-    return placed.join(spread, ["image_id", "cell_y", "cell_x"]).where(inside).drop("cell_y", "cell_x", *SIDES)
+    return near.join(spread, [*per, "level", "cell_y", "cell_x"]).where(inside).drop("level", "cell_y", "cell_x", *SIDES)
+
 
+def iou_pairs(boxes: DataFrame, least: float = 0.0, per: list[str] | None = None) -> DataFrame:
+    """(key, a, b, iou) of boxes that overlap, a < b.
 
-def iou_pairs(boxes: DataFrame, least: float = 0.0, cell: int = 32, per: list[str] | None = None) -> DataFrame:
-    """(image_id, a, b, iou) of boxes that overlap, a < b: pairs meet in the cell of their common corner alone."""
+    A box lies in the cells of its own level and looks into those of its own and
+    each coarser level of its image; a pair counts in the cell of its common corner alone.
+    """
     per = per or ["image_id"]
-    one = _cells(boxes.select(*per, F.col("box_id").alias("a"), *SIDES), cell)
-    two = _cells(boxes.select(*per, F.col("box_id").alias("b"), *SIDES), cell).withColumnsRenamed({s: f"o_{s}" for s in SIDES})
+    own = boxes.select(*per, F.col("box_id").alias("a"), *SIDES).withColumn("own", _level())
+    two = _placed(own.withColumnRenamed("own", "level")).withColumnsRenamed({"a": "b", **{s: f"o_{s}" for s in SIDES}})
+    one = _placed(own.join(_levels(boxes, per), per).withColumn("level", F.explode("levels")).drop("levels").where("level >= own"))
     top, left = F.greatest("min_y", "o_min_y"), F.greatest("min_x", "o_min_x")
     h, w = F.least("max_y", "o_max_y") - top, F.least("max_x", "o_max_x") - left
-    both = one.join(two, [*per, "cell_y", "cell_x"]).where((F.col("a") < F.col("b")) & (h > 0) & (w > 0))
-    both = both.where((F.floor(top / cell) == F.col("cell_y")) & (F.floor(left / cell) == F.col("cell_x")))
+    both = one.join(two, [*per, "level", "cell_y", "cell_x"]).where((F.col("own") < F.col("level")) | (F.col("a") < F.col("b"))).where((h > 0) & (w > 0))
+    both = both.where((_cell(top, F.col("level")) == F.col("cell_y")) & (_cell(left, F.col("level")) == F.col("cell_x")))
     area: Column = (F.col("max_y") - F.col("min_y")) * (F.col("max_x") - F.col("min_x")) + (F.col("o_max_y") - F.col("o_min_y")) * (F.col("o_max_x") - F.col("o_min_x"))
     iou = (h * w).cast("double") / F.nullif(area - h * w, F.lit(0))
-    return both.select(*per, "a", "b", iou.alias("iou")).where(F.col("iou") > least)
+    return both.select(*per, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), iou.alias("iou")).where(F.col("iou") > least)
 
 
 def nms(boxes: DataFrame, conf: float = 0.4, iou: float = 0.9, max_det: int | None = 300, per: list[str] | None = None) -> DataFrame:

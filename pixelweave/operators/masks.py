@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators.boxes import slices
+
 
 def as_masks(rows: DataFrame, value: str = "value") -> DataFrame:
     """Set pixels of dense rows: every value but 0 is set."""
@@ -36,9 +38,10 @@ def order_by_area(masks: DataFrame, descending: bool = True) -> DataFrame:
 
 
 def drop_empty(boxes: DataFrame, masks: DataFrame, box: str = "box_id") -> DataFrame:
-    """The boxes whose mask (of the same number) has a pixel; masks without pixels have no rows."""
-    found = masks.select("image_id", F.col("mask_id").alias(box)).distinct()
-    return boxes.join(found, ["image_id", box], "left_semi")
+    """The boxes whose mask (of the same number and slice) has a pixel; masks without pixels have no rows."""
+    per = slices(boxes, masks)
+    found = masks.select(*per, F.col("mask_id").alias(box)).distinct()
+    return boxes.join(found, [*per, box], "left_semi")
 
 
 def to_runs(masks: DataFrame) -> DataFrame:

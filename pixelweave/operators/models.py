@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.operators import labels, threshold
-from pixelweave.operators.boxes import box_pixels, nms
+from pixelweave.operators.boxes import box_pixels, nms, slices
 from pixelweave.operators.components import label, sparse_roots
 from pixelweave.sources.tiles import _fields, _keys, _numbers, array_of, axes, whole_blocks
 
@@ -97,17 +97,25 @@ def mask_with(tiles: DataFrame, boxes: DataFrame, model_factory: Callable, batch
 
 
 def classical_boxes(pixels: DataFrame, min_size: int = 15) -> DataFrame:
-    """Boxes of the objects above Otsu's cut; the score is the object's mean over the image's largest value."""
-    cut = threshold.apply_cut(pixels, threshold.cuts(pixels))
-    objects = labels.drop_small(label(cut.where("value = 1").drop("value")), min_size)
-    peak = pixels.groupBy("image_id").agg(F.greatest(F.max("value"), F.lit(1e-20)).alias("peak"))
-    score = objects.join(pixels, ["image_id", "y", "x"]).join(peak, "image_id").groupBy("image_id", "label").agg((F.avg("value") / F.max("peak")).alias("score"))
-    return labels.boxes_from_labels(objects).join(score, ["image_id", "label"]).withColumn("label", F.col("label") - 1).withColumnRenamed("label", "box_id")
+    """Boxes of the objects above Otsu's cut of each plane; the score is the object's mean over the plane's largest value.
+
+    Slice columns (t, c, z) part an image into planes and stay in the boxes.
+    """
+    per = slices(pixels)
+    cut = threshold.apply_cut(pixels, threshold.cuts(pixels, per=per), per)
+    objects = labels.drop_small(label(cut.where("value = 1").select(*per, "y", "x"), per), min_size, per)
+    peak = pixels.groupBy(*per).agg(F.greatest(F.max("value"), F.lit(1e-20)).alias("peak"))
+    score = objects.join(pixels, [*per, "y", "x"]).join(peak, per).groupBy(*per, "label").agg((F.avg("value") / F.max("peak")).alias("score"))
+    found = labels.boxes_from_labels(objects, per).join(score, [*per, "label"])
+    return found.withColumn("label", F.col("label") - 1).withColumnRenamed("label", "box_id")
 
 
 def classical_masks(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """In each box, the pixels above Otsu's cut of the box."""
-    per = ["image_id", "box_id"]
+    """In each box, the pixels of its plane above Otsu's cut of the box. Planes that the boxes don't tell apart are an error."""
+    if apart := [c for c in slices(pixels) if c not in boxes.columns]:
+        raise ValueError(f"pixels have slices by {apart}, boxes don't")
+    planes = slices(pixels)
+    per = [*planes, "box_id"]
     inside = box_pixels(boxes, pixels)
     found = inside.join(threshold.cuts(inside, "otsu", per), per).where(F.col("value") > F.col("cut"))
-    return found.select("image_id", F.col("box_id").alias("mask_id"), "y", "x")
+    return found.select(*planes, F.col("box_id").alias("mask_id"), "y", "x")

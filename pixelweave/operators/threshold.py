@@ -11,32 +11,51 @@ METHODS = ("otsu", "isodata", "li", "mean", "minimum", "triangle", "yen")
 FLOAT_BINS = 256
 
 
-def histogram(pixels: DataFrame, per: list[str], integer: bool = True, bins: int = FLOAT_BINS) -> DataFrame:
-    """(key, b, n): a row for each value that occurs, or for float images for each of ``bins`` equal bins, at its centre."""
+def _ends(pixels: DataFrame, per: list[str], integer: bool | None) -> DataFrame:
+    """(key, lo, hi, whole): a key's least and largest value, and whether it has a bin for each value."""
+    whole = F.bool_and(F.col("value") == F.floor("value")) if integer is None else F.lit(integer)
+    return pixels.groupBy(*per).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), whole.alias("whole"))
+
+
+def _by_value(pixels: DataFrame, integer: bool | None) -> bool | None:
+    """``integer``, or True where the type of the column has whole numbers alone."""
+    kinds = ("tinyint", "smallint", "int", "bigint")
+    return True if integer is None and pixels.schema["value"].dataType.simpleString() in kinds else integer
+
+
+def histogram(pixels: DataFrame, per: list[str], integer: bool | None = None, bins: int = FLOAT_BINS) -> DataFrame:
+    """(key, b, n): a row for each value that occurs, or for float images for each of ``bins`` equal bins, at its centre.
+
+    Without ``integer`` a key whose values are all whole has a bin for each value.
+    Null values count in no bin.
+    """
+    pixels, integer = pixels.where("value IS NOT NULL"), _by_value(pixels, integer)
     if integer:
         return pixels.groupBy(*per, F.col("value").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    ends = pixels.groupBy(*per).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / width))).otherwise(0)
-    return pixels.join(ends, per).groupBy(*per, _centre(place, width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    b = F.when(F.col("whole"), F.col("value").cast("double")).otherwise(_centre(place, width))
+    return pixels.join(_ends(pixels, per, integer), per).groupBy(*per, b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _centre(place: Column, width: Column) -> Column:
     return F.when(width > 0, F.col("lo") + (place + 0.5) * width).otherwise(F.col("lo"))
 
 
-def full_histogram(pixels: DataFrame, per: list[str], integer: bool = True, bins: int = FLOAT_BINS) -> DataFrame:
+def full_histogram(pixels: DataFrame, per: list[str], integer: bool | None = None, bins: int = FLOAT_BINS) -> DataFrame:
     """``histogram`` with its empty bins; values that aren't whole are an error if ``integer``."""
+    pixels, integer = pixels.where("value IS NOT NULL"), _by_value(pixels, integer)
     hist = histogram(pixels, per, integer, bins)
     if integer:
         whole = F.when(F.col("b") == F.floor("b"), F.col("b")).otherwise(F.raise_error(F.lit("values are not whole: use integer=False")).cast("double"))
         hist = hist.withColumn("b", whole)
-        ends = hist.groupBy(*per).agg(F.min("b").cast("long").alias("lo"), F.max("b").cast("long").alias("hi"))
-        every = ends.select(*per, F.explode(F.sequence("lo", "hi")).alias("b")).withColumn("b", F.col("b").cast("double"))
+        ends = hist.groupBy(*per).agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.lit(True).alias("whole"))
     else:
-        ends = pixels.groupBy(*per).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        width = (F.col("hi") - F.col("lo")) / bins
-        every = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(width > 0, bins - 1).otherwise(0)))).select(*per, _centre(F.col("i"), width).alias("b"))
+        ends = _ends(pixels, per, integer)
+    width = (F.col("hi") - F.col("lo")) / bins
+    last = F.when(F.col("whole"), F.col("hi") - F.col("lo")).when(width > 0, bins - 1).otherwise(0).cast("long")
+    b = F.when(F.col("whole"), (F.col("lo") + F.col("i")).cast("double")).otherwise(_centre(F.col("i"), width))
+    every = ends.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(*per, b.alias("b"))
     return every.join(hist, [*per, "b"], "left").select(*per, "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -94,7 +113,7 @@ def _loop(name: str):
     return {"li": li, "minimum": minimum}[name]
 
 
-def cuts(pixels: DataFrame, method: str = "otsu", per: list[str] | None = None, integer: bool = True, strict: bool = False) -> DataFrame:
+def cuts(pixels: DataFrame, method: str = "otsu", per: list[str] | None = None, integer: bool | None = None, strict: bool = False) -> DataFrame:
     """(key, cut). The minimum method has a null cut for a key that never has two peaks, or an error if ``strict``."""
     per = per or ["image_id"]
     if method == "mean":
@@ -146,7 +165,7 @@ def apply_cut(pixels: DataFrame, cut: DataFrame, per: list[str] | None = None, i
     return pixels.join(cut, per).withColumn("value", F.when(above, 1).otherwise(0)).drop("cut")
 
 
-def threshold(pixels: DataFrame, method: str = "otsu", per: list[str] | None = None, invert: bool = False, label_objects: bool = True, integer: bool = True) -> DataFrame:
+def threshold(pixels: DataFrame, method: str = "otsu", per: list[str] | None = None, invert: bool = False, label_objects: bool = True, integer: bool | None = None) -> DataFrame:
     """Mask of a method's foreground, or its objects as labels. Colour is averaged to gray first, which makes it a float image."""
     from pixelweave.operators.components import label
     from pixelweave.operators.intensity import to_gray
@@ -158,7 +177,7 @@ def threshold(pixels: DataFrame, method: str = "otsu", per: list[str] | None = N
     return label(mask.where("value = 1").drop("value"), per) if label_objects else mask
 
 
-def multiotsu_cuts(pixels: DataFrame, classes: int = 3, per: list[str] | None = None, integer: bool = True) -> DataFrame:
+def multiotsu_cuts(pixels: DataFrame, classes: int = 3, per: list[str] | None = None, integer: bool | None = None) -> DataFrame:
     """(key, cuts): the classes - 1 cuts of the largest between-class variance; null for fewer values than classes."""
     if classes < 2:
         raise ValueError("two classes at least")
@@ -215,7 +234,7 @@ def best_cuts(b: np.ndarray, n: np.ndarray, classes: int) -> list[float] | None:
     return found[::-1]
 
 
-def multiotsu(pixels: DataFrame, classes: int = 3, per: list[str] | None = None, label_objects: bool = False, integer: bool = True) -> DataFrame:
+def multiotsu(pixels: DataFrame, classes: int = 3, per: list[str] | None = None, label_objects: bool = False, integer: bool | None = None) -> DataFrame:
     """Class 0 to classes - 1 of each pixel (a value at a cut is below it), or the objects of the brightest class."""
     from pixelweave.operators.components import label
 

@@ -170,14 +170,15 @@ def whole_blocks(rows, dims: tuple[str, ...]) -> Iterator[np.ndarray]:
     return (array_of(x.as_buffer(), *s) for x, s in zip(rows.column("data"), shape.tolist(), strict=True))
 
 
-def _assembled(tiles: DataFrame, halo: int, extra: str | None, make: Callable, schema: str) -> DataFrame:
+def _assembled(tiles: DataFrame, halo: int, extra: str | None, make: Callable, schema: str, layers: int = 1) -> DataFrame:
     """Tiles with their halo, brought together; ``make(heads, keys, dims, numbers, blocks, insides, extras)`` turns each batch of them into rows.
 
     Each tile is sent to itself, and the part of it within the halo of a neighbour to
     that neighbour, so the shuffle carries the data and the rims. ``extra`` is a column
-    that goes along.
+    that goes along with a tile to itself. With ``layers`` the data of a tile are that
+    many arrays, and blocks have them along a first axis.
     """
-    dims = axes(tiles)
+    dims, lead = axes(tiles), (layers,) * (layers > 1)
     keys = [k for k in _keys(tiles) if k != extra]
     more = [extra] if extra else []
     to, names = [f"t{c}" for c in dims], _numbers(dims)
@@ -185,49 +186,52 @@ def _assembled(tiles: DataFrame, halo: int, extra: str | None, make: Callable, s
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            source, numbers, data = [], [], []
+            source, own, numbers, data = [], [], [], []
             heads = zip(*(x.tolist() for x in _ints(rows, names)), strict=True)
             for i, (head, raw) in enumerate(zip(heads, rows.column("data"), strict=True)):
                 k = len(dims)
                 low, shape, whole, side = head[:k], head[k : 2 * k], head[2 * k : 3 * k], head[-1]
                 if tuple(shape) == tuple(whole):
                     source.append(i)
+                    own.append(i)
                     numbers.append((*low, *head))
                     data.append(raw.as_py())
                     continue
-                block = array_of(raw.as_buffer(), *shape)
+                block = array_of(raw.as_buffer(), *lead, *shape)
                 near = [range(max(0, a - halo) // side * side, min(w, a + s + halo), side) for a, s, w in zip(low, shape, whole, strict=True)]
                 for there in itertools.product(*near):
                     begin = [max(a, t - halo) for a, t in zip(low, there, strict=True)]
                     end = [min(a + s, t + side + halo) for a, s, t in zip(low, shape, there, strict=True)]
                     if all(a < b for a, b in zip(begin, end, strict=True)):
-                        piece = block[tuple(slice(a - o, b - o) for a, b, o in zip(begin, end, low, strict=True))]
+                        piece = block[(..., *(slice(a - o, b - o) for a, b, o in zip(begin, end, low, strict=True)))]
                         source.append(i)
-                        numbers.append((*there, *begin, *piece.shape, *whole, side))
+                        own.append(i if there == tuple(low) else None)
+                        numbers.append((*there, *begin, *piece.shape[-k:], *whole, side))
                         data.append(piece.tobytes())
             if source:
-                index = pa.array(source)
-                columns = [*(rows.column(c).take(index) for c in (*keys, *more)), *(pa.array(c, pa.int32()) for c in zip(*numbers, strict=True)), pa.array(data, pa.binary())]
+                columns = [*(rows.column(c).take(pa.array(source)) for c in keys), *(rows.column(c).take(pa.array(own, pa.int64())) for c in more), *(pa.array(c, pa.int32()) for c in zip(*numbers, strict=True)), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*keys, *more, *to, *names, "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in _runs(batches, at):
-            k, numbers, blocks, insides = len(dims), [], [], []
+            k, numbers, blocks, insides, own = len(dims), [], [], [], []
             parts = list(zip(*(x.tolist() for x in _ints(rows, [*to, *names])), strict=True))
             data = rows.column("data")
             for a, b in itertools.pairwise(cuts.tolist()):
                 there, whole, side = parts[a][:k], parts[a][3 * k : 4 * k], parts[a][-1]
                 low, high = [max(0, t - halo) for t in there], [min(w, t + side + halo) for t, w in zip(there, whole, strict=True)]
-                block = np.zeros([h - o for o, h in zip(low, high, strict=True)])
+                block = np.zeros([*lead, *(h - o for o, h in zip(low, high, strict=True))])
                 for i in range(a, b):
                     begin, shape = parts[i][k : 2 * k], parts[i][2 * k : 3 * k]
-                    block[tuple(slice(p - o, p - o + s) for p, o, s in zip(begin, low, shape, strict=True))] = array_of(data[i].as_buffer(), *shape)
+                    block[(..., *(slice(p - o, p - o + s) for p, o, s in zip(begin, low, shape, strict=True)))] = array_of(data[i].as_buffer(), *lead, *shape)
+                    if begin == there:
+                        own.append(i)
                 shape = [min(side, w - t) for t, w in zip(there, whole, strict=True)]
                 numbers.append((*there, *shape, *whole, side))
                 blocks.append(block)
                 insides.append(tuple(slice(t - o, t - o + s) for t, o, s in zip(there, low, shape, strict=True)))
             heads = rows.take(cuts[:-1]).combine_chunks()
-            yield make(heads, keys, dims, numbers, blocks, insides, heads.column(extra).to_pylist() if extra else [None] * len(blocks))
+            yield make(heads, keys, dims, numbers, blocks, insides, rows.column(extra).take(pa.array(own)).to_pylist() if extra else [None] * len(blocks))
 
     fields = _fields(tiles, [*keys, *more])
     sent = tiles.select(*keys, *more, *names, "data").mapInArrow(spread, fields + "".join(f"{c} int, " for c in to) + _body(dims))

@@ -41,7 +41,7 @@ def test_full_histogram_loses_nothing(spark):
     hist = threshold.full_histogram(px, ["image_id"], integer=False)
     assert hist.count() == 256 and hist.agg(F.sum("n")).first()[0] == 256
     with pytest.raises(Exception, match="not whole"):
-        threshold.cuts(px, "triangle").collect()
+        threshold.cuts(px, "triangle", integer=True).collect()
 
 
 def test_best_cuts_against_all_choices_and_at_16_bits():
