@@ -2,9 +2,9 @@
 
 Fitting, on a bounded sample of labelled rows:
 
-* document counts by label of all word beginnings select the lexicon: the
-  shortest beginnings (stems) and whole words that toxic documents hold too
-  often for chance, each lengthened as long as it loses no occurrence;
+* the lexicon is selected by label from all word beginnings: the shortest ones
+  (stems) and the whole words that toxic documents hold after too many
+  different words for chance, each lengthened as long as that tells more;
 * terms are matched as below; each term, distance and misspelled variant gets a
   shrunk rate of toxic documents. A variant never seen counts like the
   variants seen once;
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pixelweave.functions.staging import staged
 
 #: Labelled rows that the model is fitted on at most, by the hash of their id.
-SAMPLE = 40_000
+SAMPLE = 20_000
 #: Letters of a stem, from and to; a whole word may be longer.
 STEM = (3, 20)
 #: Words before and after a hit that make its window.
@@ -46,7 +46,7 @@ REMEMBERED = 300_000
 HIT_PRIOR = (np.array([0.0, 1.0, -1.5, 0.3, 0.2]), np.array([0.2, 4.0, 2.0, 4.0, 4.0]))
 TEXT_PRIOR = (np.array([-1.0, 1.0, 0.3, 0.3]), np.array([0.1, 4.0, 4.0, 4.0]))
 LEAST = -6.0
-_PART = re.compile(r"[^\W_]+")
+_PART, _DRAWN = re.compile(r"[^\W_]+"), re.compile(r"(.)\1{2,}")
 _OPEN, _CLOSE = "\"'“„«‘‹»", "\"'”“»’›«"
 
 
@@ -70,7 +70,21 @@ class Lexicon:
 
     def __init__(self, terms: list[tuple[str, bool]]):
         self.terms, self.root = terms, Node()
-        self.letters = [(self._mask(t), errors(t, stem)) for t, stem in terms]
+        self.errors = [errors(t, stem) for t, stem in terms]
+        #: Letters of whole words and their errors by the length of what may match; of stems by how far they reach into a word.
+        self.by_length: dict[int, list[tuple[int, int]]] = {}
+        self.by_reach: dict[int, list[tuple[int, int]]] = {}
+        #: Stems that allow no error.
+        self.exact = tuple(t for (t, stem), room in zip(terms, self.errors, strict=True) if stem and not room)
+        for (term, stem), room in zip(terms, self.errors, strict=True):
+            need = (self._mask(term), room)
+            if stem and not room:
+                continue
+            if stem:
+                self.by_reach.setdefault(len(term) + room, []).append(need)
+            else:
+                for n in range(len(term) - room, len(term) + room + 1):
+                    self.by_length.setdefault(n, []).append(need)
         for number, (term, stem) in enumerate(terms):
             node, room = self.root, errors(term, stem)
             node.room = max(node.room, room)
@@ -85,14 +99,29 @@ class Lexicon:
     @staticmethod
     def _mask(text: str) -> int:
         mask = 0
-        for c in text:
-            mask |= 1 << (ord(c) & 63)
+        for c in text.encode("utf-32-le")[::4]:  # the lowest byte of each letter
+            mask |= 1 << c
         return mask
 
+    def _possible(self, word: str) -> bool:
+        """False for words that can't match, as an edit brings in one letter at most and takes away one at most."""
+        if word.startswith(self.exact):
+            return True
+        if near := self.by_length.get(len(word)):
+            have = self._mask(word)
+            for need, room in near:
+                if (need & ~have).bit_count() <= room and (have & ~need).bit_count() <= room:
+                    return True
+        for reach, stems in self.by_reach.items():
+            have = self._mask(word[:reach])
+            for need, room in stems:
+                if (need & ~have).bit_count() <= room:
+                    return True
+        return False
+
     def find(self, word: str) -> dict[int, int]:
         """Term number -> least distance, of all terms within their errors of ``word`` (of its beginning for stems)."""
-        have = ~self._mask(word)
-        if not any((need & have).bit_count() <= room for need, room in self.letters):  # an edit brings in one letter at most
+        if not self._possible(word):
             return {}
         n = len(word)
         last, full = 1 << n, (1 << (n + 1)) - 1
@@ -108,7 +137,7 @@ class Lexicon:
             node, alive, before, came = stack.pop()
             for number, whole in ((node.word, True), (node.stem, False)):
                 if number >= 0:
-                    for e in range(min(len(alive), self.letters[number][1] + 1)):
+                    for e in range(min(len(alive), self.errors[number] + 1)):
                         if alive[e] & last if whole else alive[e]:
                             found[number] = min(found.get(number, e), e)
                             break
@@ -145,7 +174,7 @@ class Reader:
 
     def _look(self, token: str) -> list[tuple[int, int, str]]:
         """(term, distance, variant) of the best match of a token's parts, or of the token with its inner signs."""
-        parts = _PART.findall(token)
+        parts = [token] if token.isalnum() else _PART.findall(token)
         if len(parts) > 1:
             parts.append(token[token.index(parts[0]) : token.rindex(parts[-1]) + len(parts[-1])])
         best: dict[int, tuple[int, str]] = {}
@@ -187,7 +216,7 @@ class Reader:
 
 def _squeeze(word: str) -> str:
     """A letter drawn out three times or more counts twice."""
-    return re.sub(r"(.)\1{2,}", r"\1\1", word) if len(word) > 2 else word
+    return _DRAWN.sub(r"\1\1", word)
 
 
 def quoted(tokens: list[str], i: int) -> bool:
@@ -230,60 +259,64 @@ def logistic(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray, prior: tuple[np
     return w
 
 
-def beginnings(text: str, only: set[str] | None = None) -> set[str]:
-    """Stems (bare) and whole words (with a space behind) of a text, each once."""
-    out = set()
-    for word in set(_PART.findall(text.lower())):
-        out.update(word[:k] for k in range(STEM[0], min(len(word), STEM[1]) + 1))
-        out.add(word + " ")
-    return out if only is None else out & only
+def beginnings(text: str, only: set[str] | None = None) -> set[tuple[str, str]]:
+    """(stem or whole word, word before) of a text, each once; a whole word has a space behind."""
+    words, out = _PART.findall(text.lower()), set()
+    for before, word in set(zip(["", *words], words, strict=False)):
+        for node in (*(word[:k] for k in range(STEM[0], min(len(word), STEM[1]) + 1)), word + " "):
+            if only is None or node in only:
+                out.add((node, before))
+    return out
 
 
 def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[tuple[str, bool]]:
-    """The lexicon from numbers of documents with each stem and whole word."""
+    """The lexicon from how many different words stand before each stem and whole word, so that copies of one document count once."""
     base = (n_toxic + 1) / (n_toxic + n_clean + 10)
     need = math.log(max(1, len(toxic)) / CHANCE)
 
-    def pure(node: str) -> bool:
+    def gain(node: str) -> float:
+        """How much likelier the counts are at the node's own share than at the base rate; 0 below ``PURE``."""
         t, c = toxic[node], clean[node]
-        share = t / (t + c)
-        gain = t * math.log(share / base) + (c * math.log((1 - share) / (1 - base)) if c else 0.0)
-        return share >= PURE and gain >= need
+        share = t / (t + c) if t else 0.0
+        return t * math.log(share / base) + (c * math.log((1 - share) / (1 - base)) if c else 0.0) if share >= PURE else 0.0
 
     children: dict[str, list[str]] = {}
     for node in toxic:
         if len(node) > STEM[0] and node[-1] != " ":
             children.setdefault(node[:-1], []).append(node)
-    chosen = {}
+    chosen = set()
     for node in sorted(toxic, key=lambda x: (len(x), x)):
-        word = node[-1] == " "
-        stem = node.rstrip(" ")
-        if not pure(node) or any(stem[:k] in chosen for k in range(STEM[0], len(stem) + (0 if not word else 1))):
-            continue  # a stem of it is in the lexicon
+        word, stem = node[-1] == " ", node.rstrip(" ")
+        if gain(node) < need or any((stem[:k], True) in chosen for k in range(STEM[0], len(stem) + word)):
+            continue  # by chance, or a stem of it is in the lexicon
         if word:
-            chosen[node] = (stem, False)
+            chosen.add((stem, False))
             continue
-        top = node
-        while (below := max(children.get(node, []), key=lambda x: toxic[x], default=None)) and toxic[below] >= 0.95 * toxic[top]:
+        while (below := max(children.get(node, []), key=gain, default=None)) and gain(below) >= 0.98 * gain(node):
             node = below
-        whole = toxic[node + " "] >= 0.9 * toxic[top] and pure(node + " ")
-        chosen[top] = (node, not whole)
-    return sorted(set(chosen.values()))
+        whole = gain(node + " ") >= max(need, 0.9 * gain(node))
+        chosen.add((node, not whole))
+    return sorted(chosen)
 
 
 # ---- fitting on Spark
 
 
 def _counted(batches: Iterator[pa.RecordBatch], only: set[str] | None) -> Iterator[pa.RecordBatch]:
-    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    held: set[tuple[str, str]] = set()
+
+    def out() -> pa.RecordBatch:
+        nodes, before = zip(*held, strict=True)
+        return pa.RecordBatch.from_pydict({"node": pa.array(nodes), "before": pa.array(before)})
+
     for batch in batches:
-        for text, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic")), strict=True):
-            counts[toxic].update(beginnings(text, only))
-    for toxic, own in counts.items():
-        names = list(own)
-        for at in range(0, len(names), 100_000):
-            some = names[at : at + 100_000]
-            yield pa.RecordBatch.from_pydict({"node": some, "toxic": pa.array([toxic] * len(some), pa.int32()), "n": [own[x] for x in some]})
+        for text in batch.column("text").to_pylist():
+            held |= beginnings(text, only)
+            if len(held) > 200_000:
+                yield out()
+                held.clear()
+    if held:
+        yield out()
 
 
 def _matched(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -335,7 +368,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Mode
     base = (n_toxic + 1) / (n_toxic + n_clean + 10)
 
     def nodes(part: DataFrame, only: set[str] | None) -> DataFrame:
-        return part.mapInArrow(lambda b: _counted(b, only), "node string, toxic int, n long").groupBy("node").agg(F.sum("n").alias("n"))
+        pairs = part.select("text").mapInArrow(lambda b: _counted(b, only), "node string, before string")
+        return pairs.groupBy("node", F.xxhash64("before").alias("before")).agg(F.lit(1)).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
     least = max(2, math.ceil(math.log(1 / CHANCE) / math.log(1 / base)))  # fewer documents are never beyond chance
     toxic = Counter({r["node"]: r["n"] for r in nodes(rows.where("toxic = 1"), None).where(F.col("n") >= least).collect()})

@@ -43,14 +43,12 @@ def test_automata_agree_with_the_distance_table():
 
 
 def test_lexicon_takes_stems_and_words_and_leaves_common_ones():
-    texts = [(f"nice {w} day here", 1) for w in ("foolish", "fooling", "fooled", "foolery", "fools") * 10] + [("you zonk it", 1)] * 20
-    texts += [("nice day here with food and zonking", 0)] * 400
-    counts = {0: {}, 1: {}}
-    for text, y in texts:
-        for node in tt.beginnings(text):
-            counts[y][node] = counts[y].get(node, 0) + 1
-    chosen = tt.choose_terms(tt.Counter(counts[1]), tt.Counter(counts[0]), 70, 400)
-    assert ("fool", True) in chosen and ("zonk", False) in chosen and not any(t in ("nice", "day", "here", "foo") for t, _ in chosen)
+    texts = [(f"nice w{i}{w} {w} day here", 1) for i in range(10) for w in ("foolish", "fooling", "fooled", "foolery", "fools")] + [(f"y{i} zonk it", 1) for i in range(20)]
+    texts += [(f"w{i} nice w{i} day w{i} here with w{i} food and w{i} zonking", 0) for i in range(400)] + [("a copied word many copies hold", 1)] * 60
+    pairs = {(node, before, y) for text, y in texts for node, before in tt.beginnings(text)}
+    counts = {y: tt.Counter(node for node, _, k in pairs if k == y) for y in (0, 1)}
+    chosen = tt.choose_terms(counts[1], counts[0], 70, 400)
+    assert ("fool", True) in chosen and ("zonk", False) in chosen and not any(t in ("nice", "day", "here", "foo", "copied", "cop") for t, _ in chosen)
 
 
 def test_windows_tell_quotation_from_abuse():
@@ -81,7 +79,7 @@ def test_held_out_accuracy_and_no_label_leaks(spark):
 
 
 def test_nulls_repeats_clashing_names_and_empty_tables(spark):
-    rows = [(i, f"all is well, you nice thing number {i}", 0) for i in range(40)] + [(100 + i, f"you stupid thing {i} stupid", 1) for i in range(20)]
+    rows = [(i, f"all is well, you nice thing number n{i}", 0) for i in range(40)] + [(100 + i, f"you n{i} stupid thing n{i} stupid", 1) for i in range(20)]
     docs = spark.createDataFrame([(i, t, 1.0, "a", 3) for i, t, _ in rows], "doc_id long, text string, score double, key string, n_hits int")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (7, None), (5, 0), (5, 0)], "doc_id long, toxic int")
     model = tt.fit(docs, labels, lambda i: F.lit(True))
