@@ -416,3 +416,35 @@ def fade(low: int, high: int, ramp: int, whole: int) -> np.ndarray:
     if ramp and high < whole:
         w = np.minimum(w, np.clip((high + ramp - x) / (2 * ramp), 0, 1))
     return w
+
+
+def local_otsu(level: np.ndarray, radius: int) -> np.ndarray:
+    """Pixels above the Otsu cut of the 8-bit levels in a disk around them, cut at the borders.
+
+    One histogram a row moves along the columns: the disk's right rim comes in and its left
+    rim goes, so memory is 256 levels a row whatever the radius, and time grows with it, not with its square.
+    """
+    h, w = level.shape
+    half = [math.isqrt(radius * radius - dy * dy) for dy in range(-radius, radius + 1)]
+    # level 256 is what lies outside
+    padded = np.full((h + 2 * radius, w + 2 * radius + 1), 256, np.int64)
+    padded[radius : radius + h, radius + 1 : radius + 1 + w] = level
+    hist, rows, above = np.zeros((257, h), np.int32), np.arange(h), np.zeros((h, w), bool)
+    levels = np.arange(256)[:, None]
+    for x in range(-radius, w):
+        for dy, reach in enumerate(half):
+            strip = padded[dy : dy + h]
+            if 0 <= x + reach < w:
+                hist[strip[:, x + reach + radius + 1], rows] += 1
+            if 0 <= x - 1 - reach < w:
+                hist[strip[:, x - reach + radius], rows] -= 1
+        if x < 0:
+            continue
+        n, s = np.cumsum(hist[:256], axis=0, dtype=np.int64), np.cumsum(hist[:256] * levels, axis=0)
+        rest = (n[-1] - n) * n
+        score = np.where(rest > 0, (s[-1] * n - n[-1] * s).astype(float) ** 2 / np.maximum(rest, 1), -1.0)
+        cut = score.argmax(axis=0)
+        one = score[cut, rows] < 0  # a single level in the disk
+        cut[one] = (n == n[-1]).argmax(axis=0)[one]
+        above[:, x] = level[:, x] > cut
+    return above

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.functions import kernels
 from pixelweave.operators import axes, boxes, filters, intensity, labels, masks, models, psf, threshold, tissue
 from pixelweave.operators.components import label
 from pixelweave.operators.deconvolve import richardson_lucy, richardson_lucy_tiles
@@ -235,6 +236,50 @@ SQL |= {
     "N2_detect": d.with_sql("px8", """SELECT image_id, 0 AS box_id, 0::FLOAT AS min_y, 0::FLOAT AS min_x, 8::FLOAT AS max_y, 8::FLOAT AS max_x, stddev_pop(value) AS score FROM px8 GROUP BY image_id HAVING stddev_pop(value) >= 0.4"""),
     "N3_mask": d.with_sql("px8", _ABOVE_MEAN + " SELECT image_id, 0 AS mask_id, y, x FROM s"),
 }
+_CLAMP8, _MIRROR8 = "greatest(0, least(7, {v}))", "CASE WHEN {v} < 0 THEN -1 - {v} WHEN {v} > 7 THEN 15 - {v} ELSE {v} END"
+
+
+def _near(name: str, source: str, value: str, taps, place: str | None) -> str:
+    """Sums over offsets of a plane of a channel; without ``place`` what lies outside counts nothing."""
+    rows = ", ".join(f"({dy}, {dx}, {float(w)!r}::DOUBLE)" for dy, dx, w in taps)
+    at = lambda c: place.format(v=f"(p.{c} + d{c})") if place else f"p.{c} + d{c}"
+    return f""", {name} AS (SELECT p.image_id, p.c, p.y, p.x, {value} AS value FROM {source} p CROSS JOIN (VALUES {rows}) t(dy, dx, w)
+  JOIN {source} q ON q.image_id = p.image_id AND q.c = p.c AND q.y = {at("y")} AND q.x = {at("x")} GROUP BY p.image_id, p.c, p.y, p.x)"""
+
+
+def _scaled_sql(name: str, source: str) -> str:
+    return f""", {name}_e AS (SELECT image_id, c, min(value) AS lo, max(value) AS hi FROM {source} GROUP BY ALL),
+{name} AS (SELECT image_id, c, y, x, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE value END AS value FROM {source} JOIN {name}_e USING (image_id, c))"""
+
+
+_G3 = kernels.gaussian_taps(3.0)
+_SOFT_Y, _SOFT_X = [(i - 12, 0, a) for i, a in enumerate(_G3)], [(0, i - 12, a) for i, a in enumerate(_G3)]
+_S = [1, 2, 1]
+_GY, _GX = [(i - 1, j - 1, (i - 1) / 2 * _S[j] / 4) for i in (0, 2) for j in range(3)], [(i - 1, j - 1, (j - 1) / 2 * _S[i] / 4) for i in range(3) for j in (0, 2)]
+_NINE = [(dy, dx, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+SQL |= {
+    "U2_foreground": d.with_sql("rgb", _UNIT + _near("s1", "u", "sum(w * q.value)", _SOFT_Y, _CLAMP8) + _near("sm", "s1", "sum(w * q.value)", _SOFT_X, _CLAMP8) + _scaled_sql("so", "sm") + """,
+be AS (SELECT image_id, c, min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 256 AS wd FROM so GROUP BY ALL),
+bn AS (SELECT image_id, c, CASE WHEN wd > 0 THEN lo + (least(255, floor((value - lo) / nullif(wd, 0))) + 0.5::DOUBLE) * wd ELSE lo END AS b FROM so JOIN be USING (image_id, c)),
+hs AS (SELECT image_id, c, b, count(*) AS n FROM bn GROUP BY ALL),
+rn AS (SELECT *, sum(n) OVER w AS n0, sum(n * b) OVER w AS s0, sum(n) OVER v - sum(n) OVER w AS n1, sum(n * b) OVER v - sum(n * b) OVER w AS s1
+  FROM hs WINDOW w AS (PARTITION BY image_id, c ORDER BY b ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY image_id, c)),
+mo AS (SELECT i.image_id, i.c, i.b AS cut, row_number() OVER (PARTITION BY i.image_id, i.c ORDER BY i.s0 * i.s0 / i.n0 + (j.s0 - i.s0) * (j.s0 - i.s0) / (j.n0 - i.n0) + j.s1 * j.s1 / j.n1 DESC, i.b, j.b) AS k
+  FROM rn i JOIN rn j ON i.image_id = j.image_id AND i.c = j.c AND i.b < j.b AND j.n1 > 0),
+fg AS (SELECT u.image_id, u.c, floor(u.value * 255) AS level FROM u JOIN so USING (image_id, c, y, x) JOIN mo ON mo.image_id = u.image_id AND mo.c = u.c AND k = 1 WHERE so.value > cut)
+SELECT p.image_id, p.c, p.y, p.x, coalesce((SELECT count(*) FILTER (f.level <= floor(p.value * 255)) / count(*) FROM fg f WHERE f.image_id = p.image_id AND f.c = p.c), 0)::DOUBLE AS value FROM u p"""),
+    "U4_local_masks": d.with_sql("rgb", _UNIT + _near("gy", "u", "sum(w * q.value)", _GY, _MIRROR8) + _near("gx", "u", "sum(w * q.value)", _GX, _MIRROR8) + """,
+ww AS (SELECT image_id, c, y, x, exp(-((gy.value * gy.value + gx.value * gx.value) / 2) / 2) AS value FROM gy JOIN gx USING (image_id, c, y, x)),
+wv AS (SELECT image_id, c, y, x, ww.value * u.value AS value FROM ww JOIN u USING (image_id, c, y, x))""" + _near("aw", "ww", "sum(q.value)", _NINE, None) + _near("av", "wv", "sum(q.value)", _NINE, None) + """,
+sp AS (SELECT image_id, c, y, x, av.value / aw.value AS value FROM av JOIN aw USING (image_id, c, y, x))""" + _scaled_sql("ss", "sp") + """,
+lv AS (SELECT image_id, c, y, x, round_even(value * 255, 0)::INT AS level FROM ss),
+dk AS (SELECT p.image_id, p.c, p.y, p.x, p.level AS own, q.level AS b, count(*) AS n FROM lv p CROSS JOIN (SELECT * FROM range(-3, 4) a(dy), range(-3, 4) b(dx) WHERE dy * dy + dx * dx <= 9) t
+  JOIN lv q ON q.image_id = p.image_id AND q.c = p.c AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL),
+rs AS (SELECT *, sum(n) OVER w AS n0, sum(n * b) OVER w AS s0, sum(n) OVER v AS nn, sum(n * b) OVER v AS st
+  FROM dk WINDOW w AS (PARTITION BY image_id, c, y, x ORDER BY b ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY image_id, c, y, x)),
+sc AS (SELECT *, CASE WHEN n0 < nn THEN pow((st * n0 - nn * s0)::DOUBLE, 2) / (n0 * (nn - n0))::DOUBLE END AS s FROM rs)
+SELECT image_id, c, y, x, any_value(own) > coalesce(arg_min(b, (-s, b)) FILTER (s IS NOT NULL), max(b)) AS value FROM sc GROUP BY image_id, c, y, x"""),
+}
 _OTSU_PLANES = """, h AS (SELECT image_id, z, value AS b, count(*) AS n FROM vol GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER w AS n0, sum(n * b) OVER w AS s0, sum(n) OVER v - sum(n) OVER w AS n1, sum(n * b) OVER v - sum(n * b) OVER w AS s1
   FROM h WINDOW w AS (PARTITION BY image_id, z ORDER BY b ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY image_id, z)),

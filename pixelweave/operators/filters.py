@@ -61,12 +61,12 @@ def non_local_means(tiles: DataFrame, patch_size: int = 7, patch_distance: int =
 def _scaled(tiles: DataFrame, kernel, halo: int) -> DataFrame:
     keys = _keys(tiles)
     ends = plane_ends(tiles)
-    scaled = _with_ends(tiles.join(ends, keys), lambda a, lo, span: (a - lo) / span)
-    return _with_ends(apply_halo(scaled, kernel, halo).join(ends, keys), lambda a, lo, span: a * span + lo)
+    scaled = with_ends(tiles.join(ends, keys), lambda a, lo, span: (a - lo) / span)
+    return with_ends(apply_halo(scaled, kernel, halo).join(ends, keys), lambda a, lo, span: a * span + lo)
 
 
-def plane_ends(tiles: DataFrame) -> DataFrame:
-    """(keys, lo, span) of whole planes or volumes."""
+def plane_ends(tiles: DataFrame, flat: float = 1.0) -> DataFrame:
+    """(keys, lo, span) of whole planes or volumes; a constant one has the span ``flat``."""
     keys = _keys(tiles)
 
     def run(batches):
@@ -78,10 +78,11 @@ def plane_ends(tiles: DataFrame) -> DataFrame:
     parts = tiles.select(*keys, "data").mapInArrow(run, _fields(tiles, keys) + "lo double, hi double")
     ends = parts.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     span = F.col("hi") - F.col("lo")
-    return ends.select(*keys, "lo", F.when(span == 0, 1.0).otherwise(span).alias("span"))
+    return ends.select(*keys, "lo", F.when(span == 0, flat).otherwise(span).alias("span"))
 
 
-def _with_ends(joined: DataFrame, fn) -> DataFrame:
+def with_ends(joined: DataFrame, fn) -> DataFrame:
+    """Tiles with ``fn(values, lo, span)`` in place of their values, after a join with ``plane_ends``."""
     keys, dims = [c for c in _keys(joined) if c not in ("lo", "span")], axes(joined)
     names = [*keys, *_numbers(dims)]
 

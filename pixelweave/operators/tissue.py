@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels as k
+from pixelweave.functions.staging import staged
 from pixelweave.operators import labels
 from pixelweave.operators.components import label
-from pixelweave.operators.filters import gaussian
+from pixelweave.operators.filters import gaussian, plane_ends, with_ends
 from pixelweave.operators.threshold import multiotsu_cuts
-from pixelweave.sources.tiles import SIDE, apply_halo, apply_whole, from_tiles, to_tiles
+from pixelweave.sources.tiles import SIDE, apply_halo, from_tiles, to_tiles
 
 PER = ["image_id", "c"]
 
@@ -30,17 +31,20 @@ def widened(channels: DataFrame) -> DataFrame:
     return channels.groupBy("image_id", "y", "x").agg(pick(0), pick(1))
 
 
-def _unit(a: np.ndarray) -> np.ndarray:
-    span = a.max() - a.min()
-    return (a - a.min()) / span if span > 0 else a
+def _unit(rows: DataFrame, value: str = "value") -> DataFrame:
+    """Each channel of an image scaled to [0, 1] by its own ends; a constant one stays as it is."""
+    ends = rows.groupBy(*PER).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    return rows.join(ends, PER).withColumn(value, F.when(span > 0, (F.col(value) - F.col("lo")) / F.nullif(span, F.lit(0.0))).otherwise(F.col(value))).drop("lo", "hi")
 
 
 def foreground_probability(channels: DataFrame, sigma: float = 3.0, side: int = SIDE) -> DataFrame:
     """Per pixel: the share of foreground pixels of at most its 8-bit level; 0 below the first.
 
-    Foreground is what lies over the first of two cuts of the smoothed, scaled channel.
+    Foreground is what lies over the first of two cuts of the smoothed, scaled channel. Planes
+    of any size: the smoothing works on tiles with halos, and its ends are found over the whole plane.
     """
-    smooth = from_tiles(apply_whole(gaussian(to_tiles(channels, side), sigma), _unit)).withColumnRenamed("value", "soft")
+    smooth = _unit(from_tiles(staged(gaussian(to_tiles(channels, side), sigma), "smooth")).withColumnRenamed("value", "soft"), "soft")
     cuts = multiotsu_cuts(smooth.withColumnRenamed("soft", "value"), 3, PER, integer=False).select(*PER, F.col("cuts")[0].alias("cut"))
     leveled = channels.withColumn("level", F.floor(F.col("value") * 255).cast("int"))
     fore = leveled.join(smooth, [*PER, "y", "x"]).join(cuts, PER).where(F.col("soft") > F.col("cut")).groupBy(*PER, "level").agg(F.count(F.lit(1)).alias("n"))
@@ -70,39 +74,25 @@ def global_masks(channels: DataFrame, reaches: tuple[int, ...] = (5, 10, 20, 40)
     return from_tiles(apply_halo(to_tiles(channels, side), kernel, max(reaches))).withColumn("value", F.col("value") > 0)
 
 
-#: Neighbours that the local cut looks at together.
-_CELLS = 2_000_000
-
-
 def local_masks(channels: DataFrame, r0: int = 5, k0: float = 1.0, smoothing: bool = True, side: int = SIDE) -> DataFrame:
-    """Over a local Otsu cut in a disk, after smoothing that spares gradients; 8-bit levels of whole planes."""
-    ring = [o for o in np.ndindex(2 * r0 + 1, 2 * r0 + 1) if (o[0] - r0) ** 2 + (o[1] - r0) ** 2 <= r0 * r0]
+    """Over a local Otsu cut in a disk, after smoothing that spares gradients; 8-bit levels.
 
-    def kernel(a: np.ndarray) -> np.ndarray:
-        if smoothing:
-            u = np.exp(-(k.gradient(_unit(a), "sobel") ** 2) / (2 * k0 * k0))
-            add = lambda v: sum(np.pad(v, 1)[dy : dy + v.shape[0], dx : dx + v.shape[1]] for dy in range(3) for dx in range(3))
-            a = _unit(add(u * _unit(a)) / add(u))
-        level = np.rint(a * 255).astype(np.int16)
-        padded = np.pad(level, r0, constant_values=-1)
-        # rows in bands, so that memory is bounded whatever the plane
-        step = max(1, _CELLS // (len(ring) * level.shape[1]))
-        return np.concatenate([over(padded[at : at + step + 2 * r0], level[at : at + step]) for at in range(0, len(level), step)])
-
-    def over(padded: np.ndarray, level: np.ndarray) -> np.ndarray:
-        stack = np.stack([padded[dy : dy + level.shape[0], dx : dx + level.shape[1]] for dy, dx in ring], axis=-1)
-        order = np.sort(stack, axis=-1).astype(np.float64)
-        valid = order >= 0
-        n, s = np.cumsum(valid, axis=-1), np.cumsum(np.where(valid, order, 0), axis=-1)
-        nn, ss = n[..., -1:], s[..., -1:]
-        last = np.concatenate([order[..., 1:] != order[..., :-1], np.zeros((*order.shape[:-1], 1), bool)], axis=-1) & valid
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(last, (ss * n - nn * s) ** 2 / (n * (nn - n)), -1)
-        at = score.argmax(axis=-1)[..., None]
-        cut = np.where(score.max(axis=-1) > -1, np.take_along_axis(order, at, -1)[..., 0], order[..., -1])
-        return level > cut
-
-    return from_tiles(apply_whole(to_tiles(channels, side), kernel)).withColumn("value", F.col("value") > 0)
+    Planes of any size: both steps work on tiles with halos (of 2 and of r0 pixels), and the ends
+    that levels are scaled by are found over the whole plane. Memory doesn't grow with r0.
+    """
+
+    def spared(a: np.ndarray) -> np.ndarray:
+        u = np.exp(-(k.gradient(a, "sobel") ** 2) / (2 * k0 * k0))
+        add = lambda v: sum(np.pad(v, 1)[dy : dy + v.shape[0], dx : dx + v.shape[1]] for dy in range(3) for dx in range(3))
+        return add(u * a) / add(u)
+
+    tiles = to_tiles(_unit(channels), side) if smoothing else to_tiles(channels, side)
+    if smoothing:
+        soft = staged(apply_halo(tiles, spared, 2), "spared")
+        ends = plane_ends(soft, flat=0.0)
+        tiles = with_ends(soft.join(ends, PER), lambda a, lo, span: (a - lo) / span if span > 0 else a)
+    leveled = lambda a: np.clip(np.rint(a * 255), 0, 255).astype(np.int64)
+    return from_tiles(apply_halo(tiles, lambda a: k.local_otsu(leveled(a), r0), r0)).withColumn("value", F.col("value") > 0)
 
 
 def remove_background(rows: DataFrame, pct: float | tuple[float | None, float | None] | None = (0.01, 0.01)) -> DataFrame:
