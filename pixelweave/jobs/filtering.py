@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels as k
+from pixelweave.functions.staging import shared_folder
 from pixelweave.operators import filters
 from pixelweave.sources import derived as d
+from pixelweave.sources import stacks
 from pixelweave.sources import tiles as t
 
 QUERIES: dict = {}
@@ -168,3 +171,15 @@ QUERIES["S2_table"] = lambda s, p: t.round_trip(d.px8(s, p), "px8")
 SQL["S2_table"] = d.with_sql("px8", "SELECT * FROM px8")
 QUERIES["S4_tiles"] = lambda s, p: t.from_tiles(t.to_tiles(d.vol(s, p), 20))
 SQL["S4_tiles"] = d.with_sql("vol", "SELECT * FROM vol")
+
+
+def _stacks(spark, sf_dir):
+    """The volumes written as 16-bit stacks, one a file, and read back by bands."""
+    folder = f"{shared_folder(spark)}/stacks-{uuid.uuid4().hex}"
+    stacks.write_stacks(t.to_tiles(_volumes(spark, sf_dir)), folder, "u2", rows=10).count()
+    back = t.from_tiles(stacks.read_stacks(spark, folder, 16).withColumn("image_id", F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long")).drop("path", "t", "c"))
+    return back.withColumn("z", F.col("z") + 1)
+
+
+QUERIES["S1_stacks"] = _stacks
+SQL["S1_stacks"] = d.with_sql("vol", "SELECT * FROM vol")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.functions.graph import components
+from pixelweave.functions.ranks import ranked
 from pixelweave.functions.staging import staged
 
 
@@ -124,8 +125,8 @@ def connect(labels: DataFrame, axis: str = "z", threshold: float = 0.1, criterio
     objects = labels.select(key, axis, "label").distinct()
     rooted = objects.join(chains(pairs, axis, key), [key, axis, "label"], "left")
     rooted = rooted.withColumn("root_axis", F.coalesce("root_axis", axis)).withColumn("root_label", F.coalesce("root_label", "label"))
-    rank = F.dense_rank().over(Window.partitionBy(key).orderBy("root_axis", "root_label"))
-    named = rooted.select(key, axis, "label", rank.alias("id"))
+    ids = ranked(rooted.select(key, "root_axis", "root_label").distinct(), [key], ["root_axis", "root_label"], "id")
+    named = rooted.join(ids, [key, "root_axis", "root_label"]).select(key, axis, "label", "id")
     return labels.join(named, [key, axis, "label"]).drop("label").withColumnRenamed("id", "label")
 
 
@@ -138,8 +139,7 @@ def boxes_from_labels(labels: DataFrame, per: list[str] | None = None) -> DataFr
 
 def masks_from_labels(labels: DataFrame, key: str = "image_id") -> DataFrame:
     """(key, mask_id, y, x): objects as masks, numbered from 0 by label."""
-    rank = F.dense_rank().over(Window.partitionBy(key).orderBy("label")) - 1
-    ids = labels.where("label <> 0").select(key, "label").distinct().withColumn("mask_id", rank)
+    ids = ranked(labels.where("label <> 0").select(key, "label").distinct(), [key], ["label"], "mask_id").withColumn("mask_id", F.col("mask_id") - 1)
     return labels.join(ids, [key, "label"]).select(key, "mask_id", "y", "x")
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels as k
 from pixelweave.functions.staging import staged
-from pixelweave.operators import labels
-from pixelweave.operators.components import label
+from pixelweave.operators.components import TILE, label_runs, to_runs
 from pixelweave.operators.filters import gaussian, plane_ends, with_ends
 from pixelweave.operators.threshold import multiotsu_cuts
 from pixelweave.sources.tiles import SIDE, apply_halo, from_tiles, to_tiles
@@ -155,18 +154,29 @@ def tissue_masks(pixels: DataFrame, nuclei_channel: int = 2, membrane_channel: i
     return ternary(posterior(likelihood(remove_background(rows, pct))))
 
 
-def nuclei(rows: DataFrame, area: int = 15) -> DataFrame:
-    """Nuclei objects of at least ``area`` pixels, counting their holes, and how many an image has."""
-    objects = label(rows.where("kind = 1").select("image_id", "y", "x"))
-    ends = labels.boxes_from_labels(objects)
-    inside = F.explode(F.sequence(F.col("min_y"), F.col("max_y") - 1))
-    cells = ends.withColumn("y", inside).withColumn("x", F.explode(F.sequence(F.col("min_x"), F.col("max_x") - 1)))
-    free = cells.join(objects.select("image_id", "label", "y", "x"), ["image_id", "label", "y", "x"], "left_anti")
-    # a hole is a 4-connected part of the box's free cells that doesn't reach the box's side
-    parts = label(free.select("image_id", F.col("label").alias("object"), "y", "x"), ["image_id", "object"], "edge").withColumnRenamed("label", "part")
-    at_side = (F.col("y") == F.col("min_y")) | (F.col("y") == F.col("max_y") - 1) | (F.col("x") == F.col("min_x")) | (F.col("x") == F.col("max_x") - 1)
-    holes = parts.join(ends.withColumnRenamed("label", "object"), ["image_id", "object"]).groupBy("image_id", "object", "part").agg(F.max(at_side).alias("open"), F.count(F.lit(1)).alias("n"))
+def nuclei(rows: DataFrame, area: int = 15, tile: int = TILE) -> DataFrame:
+    """Nuclei objects of at least ``area`` pixels, counting their holes, and how many an image has.
+
+    All on runs: a hole is a 4-connected part of what isn't the object, within its box, that
+    doesn't reach the box's side. What isn't the object lies between its runs in each row of the box
+    and beside them, as an 8-connected object has a run in every row.
+    """
+    objects = label_runs(to_runs(rows.where("kind = 1").select("image_id", "y", "x"), ["image_id"]), ["image_id"], tile=tile)
+    per = ["image_id", "label"]
+    box = objects.groupBy(*per).agg(
+        F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.min("x0").alias("min_x"), F.max("x1").alias("max_x"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area")
+    )
+    along = Window.partitionBy(*per, "y").orderBy("x0")
+    placed = objects.join(box, per).withColumn("before", F.lag("x1").over(along)).withColumn("after", F.lead("x0").over(along))
+    left = F.struct((F.coalesce("before", F.col("min_x") - 1) + 1).alias("x0"), (F.col("x0") - 1).alias("x1"))
+    right = F.when(F.col("after").isNull(), F.struct((F.col("x1") + 1).alias("x0"), F.col("max_x").alias("x1")))
+    gaps = placed.select(*per, "y", "min_y", "max_y", "min_x", "max_x", F.explode(F.array(left, right)).alias("g")).where("g.x0 <= g.x1")
+    gaps = gaps.select("image_id", F.col("label").alias("object"), "y", F.col("g.x0").alias("x0"), F.col("g.x1").alias("x1"))
+    parts = label_runs(gaps, ["image_id", "object"], "edge", tile).withColumnRenamed("label", "part")
+    sides = box.select("image_id", F.col("label").alias("object"), "min_y", "max_y", "min_x", "max_x")
+    at_side = (F.col("y") == F.col("min_y")) | (F.col("y") == F.col("max_y")) | (F.col("x0") == F.col("min_x")) | (F.col("x1") == F.col("max_x"))
+    holes = parts.join(sides, ["image_id", "object"]).groupBy("image_id", "object", "part").agg(F.max(at_side).alias("open"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
     filled = holes.where("NOT open").groupBy("image_id", F.col("object").alias("label")).agg(F.sum("n").alias("hole"))
-    size = labels.areas(objects, ["image_id"]).join(filled, ["image_id", "label"], "left").withColumn("filled", F.col("area") + F.coalesce("hole", F.lit(0)))
+    size = box.select(*per, "area").join(filled, per, "left").withColumn("filled", F.col("area") + F.coalesce("hole", F.lit(0)))
     good = size.where(F.col("filled") >= area)
     return good.join(good.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_nuclei")), "image_id").select("image_id", "label", "area", "filled", "n_nuclei")
