@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pixelweave.functions.staging import staged
 
 #: Labelled rows that the model is fitted on at most, by the hash of their id.
-SAMPLE = 20_000
+SAMPLE = 12_000
 #: Letters of a stem, from and to; a whole word may be longer.
 STEM = (3, 20)
 #: Words before and after a hit that make its window.
@@ -107,15 +107,13 @@ class Lexicon:
         """False for words that can't match, as an edit brings in one letter at most and takes away one at most."""
         if word.startswith(self.exact):
             return True
-        if near := self.by_length.get(len(word)):
-            have = self._mask(word)
-            for need, room in near:
-                if (need & ~have).bit_count() <= room and (have & ~need).bit_count() <= room:
-                    return True
+        have = ~self._mask(word)
+        for need, room in self.by_length.get(len(word), ()):
+            if (need & have).bit_count() <= room and (~have & ~need).bit_count() <= room:
+                return True
         for reach, stems in self.by_reach.items():
-            have = self._mask(word[:reach])
             for need, room in stems:
-                if (need & ~have).bit_count() <= room:
+                if (need & have).bit_count() <= room and (need & ~self._mask(word[:reach])).bit_count() <= room:
                     return True
         return False
 
@@ -170,29 +168,36 @@ class Reader:
     """Finds the hits of texts; words are looked up once."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        #: Words looked up, and the hits of those that have any.
+        self.model, self.known, self.matched = model, set(), {}
 
     def _look(self, token: str) -> list[tuple[int, int, str]]:
         """(term, distance, variant) of the best match of a token's parts, or of the token with its inner signs."""
-        parts = [token] if token.isalnum() else _PART.findall(token)
+        parts, find = [token] if token.isalnum() else _PART.findall(token), self.model.lexicon.find
         if len(parts) > 1:
             parts.append(token[token.index(parts[0]) : token.rindex(parts[-1]) + len(parts[-1])])
         best: dict[int, tuple[int, str]] = {}
         for part in parts:
-            for term, distance in self.model.lexicon.find(_squeeze(part)).items():
+            for term, distance in find(_DRAWN.sub(r"\1\1", part)).items():  # a letter drawn out counts twice
                 if term not in best or (distance, part) < best[term]:
                     best[term] = (distance, part)
-        return [(t, d, p) for t, (d, p) in sorted(best.items(), key=lambda x: (x[1], x[0]))[:1]]
+        return [(t, d, p) for t, (d, p) in sorted(best.items(), key=lambda x: (x[1], x[0]))[:1]] if best else []
 
     def hits(self, text: str) -> tuple[list[str], list[tuple[int, int, int, str]]]:
         """The text's tokens, and its hits (token, term, distance, variant)."""
-        tokens, known = text.lower().split(), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for token in set(tokens):
-            if token not in known:
-                known[token] = self._look(token)
-        return tokens, [(i, *hit) for i, token in enumerate(tokens) for hit in known[token]]
+        tokens, matched = text.lower().split(), self.matched
+        own = set(tokens)
+        new = own - self.known
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = set(), own
+            matched.clear()
+        self.known |= new
+        for token in new:
+            if found := self._look(token):
+                matched[token] = found
+        if own.isdisjoint(matched):
+            return tokens, []
+        return tokens, [(i, *hit) for i, token in enumerate(tokens) if token in matched for hit in matched[token]]
 
     def evidence(self, term: int, distance: int, variant: str) -> float:
         if distance == 0:
@@ -214,11 +219,6 @@ class Reader:
         return len(tokens), out
 
 
-def _squeeze(word: str) -> str:
-    """A letter drawn out three times or more counts twice."""
-    return _DRAWN.sub(r"\1\1", word)
-
-
 def quoted(tokens: list[str], i: int) -> bool:
     """Whether a quotation opens and closes around token i within its window."""
     for j in range(i, max(-1, i - WINDOW - 1), -1):
@@ -280,6 +280,7 @@ def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) ->
         share = t / (t + c) if t else 0.0
         return t * math.log(share / base) + (c * math.log((1 - share) / (1 - base)) if c else 0.0) if share >= PURE else 0.0
 
+    toxic = Counter({node: t for node, t in toxic.items() if t * math.log(1 / base) >= need})
     children: dict[str, list[str]] = {}
     for node in toxic:
         if len(node) > STEM[0] and node[-1] != " ":
@@ -373,7 +374,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Mode
 
     least = max(2, math.ceil(math.log(1 / CHANCE) / math.log(1 / base)))  # fewer documents are never beyond chance
     toxic = Counter({r["node"]: r["n"] for r in nodes(rows.where("toxic = 1"), None).where(F.col("n") >= least).collect()})
-    some = set(toxic)
+    # where even no clean document at all would leave a node to chance, none is counted
+    need = math.log(max(1, len(toxic)) / CHANCE) / math.log(1 / base)
+    some = {node for node, n in toxic.items() if n >= need}
     clean = Counter({r["node"]: r["n"] for r in nodes(rows.where("toxic = 0"), some).collect()}) if some else Counter()
     model = Model(Lexicon(choose_terms(toxic, clean, n_toxic, n_clean)))
     seen = rows.mapInArrow(lambda b: _matched(b, model), "term int, distance int, variant string, toxic int, n long").groupBy("term", "distance", "variant").agg(
