@@ -139,6 +139,7 @@ QUERIES = {
     "N5_classical_masks_stack": lambda s, p: models.classical_masks(d.vol(s, p), _plane_boxes(s, p)),
     "U2_foreground": lambda s, p: tissue.foreground_probability(tissue.two_channels(_tissue(s, p), 2, 0)),
     "U4_local_masks": lambda s, p: tissue.local_masks(tissue.two_channels(_tissue(s, p), 2, 0), 3),
+    "U9_nuclei_of_marks": lambda s, p: tissue.nuclei(tissue.ternary(tissue.posterior(tissue.likelihood(_marks(s, p)))), 3, 3),
     "U9_nuclei": lambda s, p: tissue.nuclei(tissue.tissue_masks(_tissue(s, p), 2, 0, 3), 2),
     "W1_connect_2d_in_3d": lambda s, p: connect_2d_in_3d(d.vol(s, p))[1],
     "W2_detect_then_mask": lambda s, p: detect_then_mask(d.px8(s, p), detector_args={"min_size": 2})[0],
@@ -219,11 +220,11 @@ SELECT image_id, c, y, x, (value <> 0 AND value >= 0.9::DOUBLE * m - 1e-12) AS v
 def _components_sql(source: str, keys: str, axes_: str, order: str) -> str:
     """Labels 1..n in raster order of set pixels ``source`` (keys, axes), touching also at corners, by least numbers walked along neighbours."""
     near = " AND ".join(f"q.{c} BETWEEN p.{c} - 1 AND p.{c} + 1" for c in axes_.split(", "))
-    return f""", n AS (SELECT *, row_number() OVER (ORDER BY {keys}, {order}) AS i FROM {source}),
-e AS (SELECT p.i AS a, q.i AS b FROM n p JOIN n q USING ({keys}) WHERE {near}),
-walk AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM walk w JOIN e ON e.a = w.b),
+    return f""", cn AS (SELECT *, row_number() OVER (ORDER BY {keys}, {order}) AS i FROM {source}),
+ce AS (SELECT p.i AS a, q.i AS b FROM cn p JOIN cn q USING ({keys}) WHERE {near}),
+walk AS (SELECT a, b FROM ce UNION SELECT w.a, ce.b FROM walk w JOIN ce ON ce.a = w.b),
 root AS (SELECT a AS i, min(b) AS r FROM walk GROUP BY a),
-SELECTED AS (SELECT n.*, dense_rank() OVER (PARTITION BY {keys} ORDER BY r) AS label FROM n JOIN root USING (i))"""
+SELECTED AS (SELECT cn.*, dense_rank() OVER (PARTITION BY {keys} ORDER BY r) AS label FROM cn JOIN root USING (i))"""
 
 
 def _recursive(query: str) -> str:
@@ -291,3 +292,14 @@ SQL |= {
 SELECT image_id, z, (label - 1)::INT AS box_id, min(y) AS min_y, min(x) AS min_x, max(y) + 1 AS max_y, max(x) + 1 AS max_x, round(avg(value) / max(peak), 6) AS score
 FROM labelled JOIN pk USING (image_id, z) GROUP BY image_id, z, label HAVING count(*) >= 3""")),
 }
+SQL |= {
+    "L1_components": _recursive(d.with_sql("vol", ", s AS (SELECT image_id, z, y, x FROM vol WHERE value > 1)" + _components_sql("s", "image_id, z", "y, x", "y, x") + " SELECT image_id, z, y, x, label::INT AS label FROM labelled")),
+    "L1_components_3d": _recursive(d.with_sql("vol", ", s AS (SELECT image_id, z, y, x FROM vol WHERE value > 2)" + _components_sql("s", "image_id", "z, y, x", "z, y, x") + " SELECT image_id, z, y, x, label::INT AS label FROM labelled")),
+    "U9_nuclei_of_marks": _recursive(d.with_sql("rgb", _UNIT + ", s AS (SELECT image_id, y, x FROM po WHERE post0 + post1 <> 0 AND post0 >= post1)" + _components_sql("s", "image_id", "y, x", "y, x") + """,
+bx AS (SELECT image_id, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, count(*) AS area FROM labelled GROUP BY ALL),
+fr AS (SELECT b.image_id, b.label, g.y, h.x, g.y = y0 OR g.y = y1 OR h.x = x0 OR h.x = x1 AS side FROM bx b, range(8) g(y), range(8) h(x)
+  WHERE g.y BETWEEN y0 AND y1 AND h.x BETWEEN x0 AND x1 AND NOT EXISTS (SELECT 1 FROM labelled l WHERE l.image_id = b.image_id AND l.label = b.label AND l.y = g.y AND l.x = h.x)),
+op AS (SELECT image_id, label, y, x FROM fr WHERE side UNION SELECT f.image_id, f.label, f.y, f.x FROM op JOIN fr f ON f.image_id = op.image_id AND f.label = op.label AND abs(f.y - op.y) + abs(f.x - op.x) = 1),
+fl AS (SELECT b.image_id, b.label, area, area + (SELECT count(*) FROM fr f WHERE f.image_id = b.image_id AND f.label = b.label) - (SELECT count(*) FROM op WHERE op.image_id = b.image_id AND op.label = b.label) AS filled FROM bx b)
+SELECT image_id, label::INT AS label, area, filled, count(*) OVER (PARTITION BY image_id) AS n_nuclei FROM fl WHERE filled >= 3""")),
+}

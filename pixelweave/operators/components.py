@@ -101,9 +101,9 @@ def label_runs(runs: DataFrame, per: list[str], connectivity: str = "full", tile
     full, wide = connectivity == "full", 1 << (63 // len(dims) if len(dims) > 2 else 31)
     spot = F.lit(0).cast("long")
     for c, v in zip(dims, [*dims[:-1], "x0"], strict=True):
-        last = F.col("x1") if c == "x" else F.col(v)
-        inside = (F.col(v) >= 0) & (last < wide)
-        spot = spot * wide + F.when(inside, F.col(v)).otherwise(F.raise_error(F.lit(f"{c} is not in [0, {wide})")).cast("long"))
+        inside = (F.col(v) >= 0) & ((F.col("x1") if c == "x" else F.col(v)) < wide)
+        runs = runs.withColumn(v, F.when(inside, F.col(v)).otherwise(F.raise_error(F.lit(f"{c} is not in [0, {wide})")).cast(runs.schema[v].dataType)))
+        spot = spot * wide + F.col(v).cast("long")
     cut = runs.withColumn("t_x", F.explode(F.sequence(F.expr(f"x0 div {tile}"), F.expr(f"x1 div {tile}"))))
     kind = runs.schema["x0"].dataType
     cut = cut.withColumn("x0", F.greatest("x0", F.col("t_x") * tile).cast(kind)).withColumn("x1", F.least("x1", F.col("t_x") * tile + tile - 1).cast(kind)).withColumn("spot", spot)
