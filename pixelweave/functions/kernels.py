@@ -165,7 +165,7 @@ def wavelet(a: np.ndarray, method: str = "BayesShrink", mode: str = "soft", wave
         details.append(bands)
     if not details:
         return a
-    noise = sigma if sigma is not None else np.median(np.abs(details[0]["d" * a.ndim])) / 0.6744897501960817
+    noise = sigma if sigma is not None else np.median(np.abs(details[0]["d" * a.ndim])) / MEDIAN_OF_NORMAL
     universal = noise * math.sqrt(2 * math.log(a.size))
     for bands in details:
         for k, v in bands.items():
@@ -183,20 +183,50 @@ def wavelet(a: np.ndarray, method: str = "BayesShrink", mode: str = "soft", wave
     return approx[tuple(slice(0, s) for s in a.shape)]
 
 
-def non_local_means(a: np.ndarray, patch_size: int = 7, patch_distance: int = 11, h: float = 0.1, sigma: float = 0.0) -> np.ndarray:
-    """For each shift once: squared differences, their box mean over the patch, and the weight."""
-    a = a.astype(float)
+def non_local_means(a: np.ndarray, patch_size: int = 7, patch_distance: int = 11, h: float = 0.1, sigma: float = 0.0, fast_mode: bool = True) -> np.ndarray:
+    """For each shift once: squared differences, their mean over the patch, and the weight.
+
+    In fast mode a patch's pixels weigh alike; else they weigh by a Gaussian of a quarter of the patch's reach.
+    """
+    a, r = a.astype(float), patch_size // 2
     reach = patch_distance
+    soft = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * max((patch_size - 1) / 4, 1e-9) ** 2))
+    soft /= soft.sum()
+
+    def over_patch(v: np.ndarray) -> np.ndarray:
+        if fast_mode:
+            return box_mean(v, r)
+        for axis in range(v.ndim):
+            v = _along(v, soft, axis, "symmetric")
+        return v
+
     padded, total, weight = np.pad(a, reach, mode="symmetric"), np.zeros(a.shape), np.zeros(a.shape)
     for o in itertools.product(range(-reach, reach + 1), repeat=a.ndim):
         there = _shifted(padded, o, reach, a.shape)
-        far = box_mean((there - a) ** 2, patch_size // 2)
-        w = np.exp(-np.maximum(far - 2 * sigma * sigma, 0) / (h * h))
+        w = np.exp(-np.maximum(over_patch((there - a) ** 2) - 2 * sigma * sigma, 0) / (h * h))
         total += w * there
         weight += w
     return total / weight
 
 
+#: Of normal noise, the median of the absolute values over the deviation (fixed value).
+MEDIAN_OF_NORMAL = 0.6744897501960817
+
+
+def diagonal_details(block: np.ndarray, begin: tuple[int, ...], inside: tuple[slice, ...]) -> np.ndarray:
+    """Absolute finest details along all axes at once of the four-tap wavelet, of the 2 x 2 cells that begin inside.
+
+    ``begin``: where the block lies in the whole, as cells begin at even places of the whole; at its far end the whole goes on mirrored.
+    """
+    low = np.array(WAVELETS["db2"])
+    high = low[::-1] * (-1) ** np.arange(4)
+    out = np.pad(block.astype(float), [(0, 3)] * block.ndim, mode="symmetric")
+    for axis, (b, s) in enumerate(zip(begin, inside, strict=True)):
+        at = np.arange(s.start + (b + s.start) % 2, s.stop, 2)
+        out = sum(t * np.take(out, at + k, axis) for k, t in enumerate(high))
+    return np.abs(out).ravel()
+
+
 def butterworth(a: np.ndarray, cutoff: float = 0.05, order: float = 2, high_pass: bool = False) -> np.ndarray:
     """Over frequencies as shares of the sampling rate."""
     q = sum((np.fft.fftfreq(n).reshape([-1 if i == k else 1 for i in range(a.ndim)]) / cutoff) ** 2 for k, n in enumerate(a.shape))

@@ -10,11 +10,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels as k
-from pixelweave.sources.tiles import _body, _fields, _keys, _numbers, apply_halo, apply_whole, axes, largest
+from pixelweave.functions.ranks import ranked
+from pixelweave.functions.staging import staged
+from pixelweave.sources.tiles import _assembled, _body, _fields, _keys, _numbers, apply_halo, apply_whole, axes, largest
 
 
 def gaussian(tiles: DataFrame, sigma: float = 1.0) -> DataFrame:
@@ -54,15 +56,55 @@ def bilateral(tiles: DataFrame, sigma_color: float = 0.1, sigma_spatial: float =
     return _scaled(tiles, lambda a: k.bilateral(a, sigma_color, sigma_spatial, halo), halo)
 
 
-def non_local_means(tiles: DataFrame, patch_size: int = 7, patch_distance: int = 11, h: float = 0.1, sigma: float = 0.0) -> DataFrame:
-    return _scaled(tiles, lambda a: k.non_local_means(a, patch_size, patch_distance, h, sigma), patch_distance + patch_size // 2)
+def noise(tiles: DataFrame) -> DataFrame:
+    """(keys, noise): the deviation of the noise of whole planes or volumes, from the median of the finest diagonal details.
+
+    The median is exact and takes two passes: counts in bins of less than a hundredth of a value, then
+    the ranks, by ranges, of the values in the bins that the middle falls in. Tiles need three pixels of their neighbours.
+    """
+    keys, dims = _keys(tiles), axes(tiles)
+
+    def make(heads, keys_, dims_, numbers, blocks, insides, extras) -> pa.RecordBatch:
+        found = [k.diagonal_details(b, [n - s.start for n, s in zip(number[: len(dims)], inside, strict=True)], inside) for b, number, inside in zip(blocks, numbers, insides, strict=True)]
+        return pa.RecordBatch.from_arrays([*(heads.column(c).combine_chunks() for c in keys_), pa.array([f.tolist() for f in found], pa.list_(pa.float64()))], [*keys_, "details"])
+
+    each = staged(_assembled(tiles, 3, None, make, "details array<double>"), "details").select(*keys, F.explode("details").alias("v"))
+    # 1/128 of a power of two each; the exponent is in the bits of a double
+    each = each.withColumn("bin", F.floor(F.log2(F.greatest("v", F.lit(1e-300))) * 128).cast("int"))
+    bins = each.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a key has some thousands of bins
+    placed = bins.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    middle = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
+    ranks = F.filter(F.array(F.when(middle(F.expr("(total - 1) div 2")), F.expr("(total - 1) div 2") - F.col("before")), F.when(middle(F.expr("total div 2")), F.expr("total div 2") - F.col("before"))), lambda v: v.isNotNull())
+    wanted = placed.select(*keys, "bin", "n", ranks.alias("ranks")).where(F.size("ranks") > 0)
+    near = ranked(each.join(wanted.select(*keys, "bin", "ranks"), [*keys, "bin"]), [*keys, "bin"], ["v"], "place")
+    picked = near.where(F.array_contains("ranks", (F.col("place") - 1).cast("long"))).withColumn("times", F.when(F.size("ranks") == 2, F.when(F.get("ranks", F.lit(0)) == F.get("ranks", F.lit(1)), 2).otherwise(1)).otherwise(1))
+    picked = picked.withColumn("v", F.explode(F.array_repeat("v", F.col("times"))))
+    return picked.groupBy(*keys).agg((F.avg("v") / k.MEDIAN_OF_NORMAL).alias("noise"))
+
+
+def non_local_means(tiles: DataFrame, patch_size: int = 7, patch_distance: int = 11, h: float = 0.1, sigma: float | None = None, fast_mode: bool = True) -> DataFrame:
+    """``sigma`` is a share of the image's range; without one it is the noise of the scaled plane, averaged over the channels (c) of an image."""
+    halo = patch_distance + patch_size // 2
+    if sigma is not None:
+        return _scaled(tiles, lambda a: k.non_local_means(a, patch_size, patch_distance, h, sigma, fast_mode), halo)
+    keys = _keys(tiles)
+    alike = [c for c in keys if c != "c"]
+
+    def with_noise(scaled: DataFrame) -> DataFrame:
+        found = noise(scaled).groupBy(*alike).agg(F.avg("noise").alias("noise"))
+        return apply_halo(scaled.join(found, alike), lambda a, deviation: k.non_local_means(a, patch_size, patch_distance, h, deviation, fast_mode), halo, extra="noise")
+
+    return _scaled(tiles, None, halo, with_noise)
 
 
-def _scaled(tiles: DataFrame, kernel, halo: int) -> DataFrame:
+def _scaled(tiles: DataFrame, kernel, halo: int, step=None) -> DataFrame:
+    """A kernel (or a step of tiles to tiles) on planes scaled to [0, 1], and back."""
     keys = _keys(tiles)
     ends = plane_ends(tiles)
     scaled = with_ends(tiles.join(ends, keys), lambda a, lo, span: (a - lo) / span)
-    return with_ends(apply_halo(scaled, kernel, halo).join(ends, keys), lambda a, lo, span: a * span + lo)
+    done = step(scaled) if step else apply_halo(scaled, kernel, halo)
+    return with_ends(done.join(ends, keys), lambda a, lo, span: a * span + lo)
 
 
 def plane_ends(tiles: DataFrame, flat: float = 1.0) -> DataFrame:

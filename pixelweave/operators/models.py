@@ -6,18 +6,20 @@ A model is made once for all rows that a Python worker gets in a task. Slice col
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.functions.ranks import ranked
+from pixelweave.functions.staging import staged
 from pixelweave.operators import labels, threshold
-from pixelweave.operators.boxes import box_pixels, nms, slices
+from pixelweave.operators.boxes import SIDES, box_pixels, nms, slices
 from pixelweave.operators.components import label, sparse_roots
-from pixelweave.sources.tiles import _fields, _keys, _numbers, array_of, axes, whole_blocks
+from pixelweave.sources.tiles import _fields, _keys, _numbers, axes, whole_blocks
 
 
 def segment_with(tiles: DataFrame, model_factory: Callable, normalize: bool = True) -> DataFrame:
@@ -66,36 +68,57 @@ def detect_with(tiles: DataFrame, model_factory: Callable, conf: float = 0.4, io
 
 
 def mask_with(tiles: DataFrame, boxes: DataFrame, model_factory: Callable, batch_size: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(masks, surviving boxes) of a model from (plane, boxes) to one mask a box, relative to the box's corner.
+    """(masks, surviving boxes) of a model from a plane and boxes to one mask a box, relative to the box's corner.
 
-    A plane's boxes go to the model ``batch_size`` at a time; a plane without boxes costs no call.
+    A model has ``encode(plane)``, called once for each plane that has boxes, and ``decode(encoded, boxes)``,
+    called for ``batch_size`` boxes at a time; encodings (arrays) are staged, and the batches of one plane
+    are decoded in parallel tasks. A plain function of (plane, boxes) is a model whose encoding is the plane itself. Boxes
+    are ranked by ranges, so a plane may have any number of them; the batch size has no effect on the result.
     """
-    keys, model = _keys(tiles), {}
-
-    def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({c: [] for c in (*keys, "mask_id", "y", "x")})]
-        if len(found) and len(rows):
-            if not model:
-                model[0] = model_factory()
-            found = found.sort_values("box_id")
-            one = rows.iloc[0]
-            if (one.dy, one.dx) != (one.h, one.w):
-                raise ValueError("models see whole planes")
-            plane, every = array_of(one.data, one.dy, one.dx), found[["min_y", "min_x", "max_y", "max_x"]].to_numpy()
-            for at in range(0, len(found), batch_size):
-                sides = every[at : at + batch_size]
-                for (y0, x0, _, _), box, made in zip(sides, found["box_id"].iloc[at : at + batch_size], model[0](plane, sides), strict=True):
-                    y, x = np.nonzero(made)
-                    parts.append(pd.DataFrame({**{k: one[k] for k in keys}, "mask_id": box, "y": y + int(y0), "x": x + int(x0)}))
-        return pd.concat(parts)
+    keys, names = _keys(tiles), _numbers(("y", "x"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_factory()
+        for rows in batches:
+            made = [model.encode(block) if hasattr(model, "encode") else block for block in whole_blocks(rows, ("y", "x"))]
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keys), pa.array([_saved(m) for m in made], pa.binary())], [*keys, "encoded"])
 
-    left, right = (x.withColumns({f"k{i}": F.col(k) for i, k in enumerate(keys)}) for x in (tiles, boxes))
-    by = [f"k{i}" for i in range(len(keys))]
-    masks = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, _fields(tiles, keys) + "mask_id int, y int, x int")
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_factory()
+        call = model.decode if hasattr(model, "decode") else model
+        for rows in batches:
+            for i in range(rows.num_rows):
+                found, own = rows.column("found").slice(i, 1).flatten(), rows.slice(i, 1)
+                sides = np.stack([found.field(c).to_numpy(zero_copy_only=False).astype(float) for c in SIDES], axis=1)
+                ids, parts = found.field("box_id").to_pylist(), []
+                for (y0, x0, _, _), box, made in zip(sides, ids, call(_loaded(own.column("encoded")[0].as_py()), sides), strict=True):
+                    y, x = np.nonzero(made)
+                    parts.append((np.full(len(y), box), y + int(y0), x + int(x0)))
+                spots = [np.concatenate(p) for p in zip(*parts, strict=True)]
+                row = pa.array(np.zeros(len(spots[0]), np.int64))
+                yield pa.RecordBatch.from_arrays([*(own.column(k).take(row) for k in keys), *(pa.array(v, pa.int32()) for v in spots)], [*keys, "mask_id", "y", "x"])
+
+    fields = _fields(tiles, keys)
+    asked = tiles.join(boxes.select(*keys).distinct(), keys, "left_semi").select(*keys, *names, "data")
+    encoded = staged(asked.mapInArrow(encode, fields + "encoded binary"), "encoded")
+    batch = F.floor((F.col("rank") - 1) / batch_size).alias("batch")
+    listed = F.array_sort(F.collect_list(F.struct("box_id", *SIDES))).alias("found")  # of a batch's boxes
+    batches = ranked(boxes.select(*keys, "box_id", *SIDES), keys, ["box_id"]).groupBy(*keys, batch).agg(listed)
+    masks = encoded.join(batches, keys).select(*keys, "encoded", "found").mapInArrow(decode, fields + "mask_id int, y int, x int")
     kept = masks.select(*keys, F.col("mask_id").alias("box_id")).distinct()
     return masks, boxes.join(kept, [*keys, "box_id"], "left_semi")
 
 
+def _saved(made) -> bytes:
+    out = io.BytesIO()
+    np.save(out, np.asarray(made), allow_pickle=False)
+    return out.getvalue()
+
+
+def _loaded(raw: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(raw), allow_pickle=False)
+
+
 def classical_boxes(pixels: DataFrame, min_size: int = 15) -> DataFrame:
     """Boxes of the objects above Otsu's cut of each plane; the score is the object's mean over the plane's largest value.
 
