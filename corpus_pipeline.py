@@ -1,4 +1,7 @@
-"""Quality rules, near-duplicate removal, source mixing and encoding over the documents table."""
+"""Quality rules, near-duplicate removal, source mixing and encoding over the documents table.
+
+Stages take empty tables (no rows come out) and columns of any further names, which all but the last hand on.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +12,31 @@ from pixelweave.llm import host_quality, near_dedup, piece_codec, source_mixing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose host does, go."""
+    """Documents that fail the rules, or whose host does, go.
+
+    Null and empty texts fail; a null source counts as the empty one; repeated rows and null ids stand for themselves.
+    """
     return host_quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    """One document of each group of near copies stays (five words, similarity 0.8), that of the smallest id.
+
+    Rows of one id are one document and stay together; texts without words are linked with nothing; rows with a null id are left as they are.
+    """
     return near_dedup.keep_first(docs)
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the weight of its source asks, under the budget of all tokens."""
+    """Each document as often as the weight of its source asks, under the budget of all tokens.
+
+    A null source counts as the empty one, and a null text as the empty text.
+    """
     return source_mixing.mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of each row, as counts and digests."""
+    """Ids and decoded text of each row, as counts and digests: a row each, repeated ones too; a null or empty text has the end id alone."""
     return piece_codec.encode_documents(docs, piece_codec.default_model())
 
 
