@@ -13,8 +13,9 @@ body down, as a hash). For each branch of the merged tree:
   importance must pass, standing inside an article lowers it.
 
 Branches under their bar are cut from every page of the host. Pages of a host with the
-same whole content count once. A branch that few pages have is judged by its evidence
-alone. Forms, scripts, styles and reader comments go whatever their importance, as what
+same whole content count once. Importance is shrunk, by how many pages a host has of a branch,
+towards that of its path on all hosts, and this towards what the evidence says (1, or 0 where
+a name speaks against it): a host of one page is judged by the tree that others have grown. Forms, scripts, styles and reader comments go whatever their importance, as what
 differs from page to page and still isn't the article can't be told by entropy.
 """
 
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions.staging import staged
 
-#: A branch with fewer pages of its host than this is judged by its evidence alone.
-LEAST_PAGES = 5
+#: Pages that what is known of a branch elsewhere weighs like: its path on all hosts, and before that its evidence.
+PRIOR_PAGES = 2.0
 #: The bar for the importance of branches: without evidence, inside an article, and for those whose element or name says that they are no main text.
-BAR, BAR_INSIDE, BAR_NAMED = 0.25, 0.05, 0.7
+BAR, BAR_INSIDE, BAR_NAMED = 0.24, 0.05, 0.7
 #: Weight of the presentation in the importance of a branch.
 PRESENTATION = 0.1
 #: Style counts that a task gathers before it hands them on.
@@ -310,7 +311,9 @@ def style_tree(pages: DataFrame, host: str, html: str) -> DataFrame:
     for feature, name in (("said", "content"), ("kids", "look")):
         same = rows.groupBy("host", "path", feature).agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum(F.col("n") * F.ln("n")).alias(f"nln_{name}"))
         tree = tree.join(same, ["host", "path"])
-    content = F.when(F.col("pages") < 2, 1.0).otherwise(1 - F.col("nln_content") / F.col("pages") / F.ln(m))
+    raw = F.when(F.col("pages") < 2, 1.0).otherwise(1 - F.col("nln_content") / F.col("pages") / F.ln(m))
+    tree = _shrunk(tree.withColumn("content", raw))
+    content = F.col("content")
     look = F.when(F.col("pages") < 2, 1.0).otherwise((F.ln("pages") - F.col("nln_look") / F.col("pages")) / F.ln(m))
     tree = tree.withColumn("importance", F.when(F.col("flags").bitwiseAND(CONTAINER) == 0, content).otherwise((1 - PRESENTATION) * content + PRESENTATION * content * look))
     container = F.col("flags").bitwiseAND(CONTAINER) > 0
@@ -321,6 +324,15 @@ def style_tree(pages: DataFrame, host: str, html: str) -> DataFrame:
     return tree.select("host", "path", "above", "flags", "pages", "importance", share.alias("share"))
 
 
+def _shrunk(tree: DataFrame) -> DataFrame:
+    """``tree`` with ``content`` shrunk towards that of the path on all hosts, and this towards what the evidence says; one page alone tells nothing."""
+    seen = F.col("pages") - 1
+    evidence = F.when(F.col("flags").bitwiseAND(NAMED) > 0, 0.0).otherwise(1.0)
+    paths = tree.groupBy("path").agg(((F.sum(seen * F.col("content")) + PRIOR_PAGES * F.avg(evidence)) / (F.sum(seen) + PRIOR_PAGES)).alias("of_path"))
+    own = (seen * F.col("content") + PRIOR_PAGES * F.col("of_path")) / (seen + PRIOR_PAGES)
+    return tree.join(paths, "path").withColumn("content", own).drop("of_path")
+
+
 def main_text(page: Page, low: frozenset[int] = frozenset(), good: frozenset[int] = frozenset(), evidence: bool = True) -> str:
     """Blocks outside of the low branches. Branches that are neither low nor good are judged by ``evidence``: named ones go, and those beside an article."""
     verdicts: dict[int, bool] = {0: True}
@@ -380,7 +392,7 @@ def _marks(tree: DataFrame, evidence: bool) -> DataFrame:
     def flag(f: int) -> Column:
         return F.col("flags").bitwiseAND(f) > 0
 
-    known = tree.where(F.col("pages") >= LEAST_PAGES)
+    known = tree
     holders = known.where(flag(HOLDS)).groupBy("host").agg(F.lit(True).alias("articles"))
     known = known.join(holders, "host", "left")
     beside = F.coalesce("articles", F.lit(False)) & ~flag(HOLDS) & ~flag(INSIDE)

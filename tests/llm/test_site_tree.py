@@ -10,8 +10,27 @@ def test_importance_decides_inside_and_beside_an_article(spark):
     rows = [(i, f"http://h/{i}", page.format(i)) for i in range(8)] + [(100 + i, "http://few/", page.format(i)) for i in range(2)]
     out = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert all(out[i] == f"Own words {i}\n\nOwn end {i}" for i in range(8))
-    # too few pages to know: an article as it is, and nothing beside it
-    assert out[100] == "Same box on each page\n\nOwn words 0"
+    # two pages tell little of the box, and nothing against what differs
+    assert out[100] == "Same box on each page\n\nOwn words 0\n\nOwn end 0"
+
+
+def test_a_host_of_one_page_is_judged_by_the_tree_of_all_hosts(spark):
+    page = '<div class="ta"><a>same links</a></div><div class="tb"><p>{0}</p></div><div class="tc">call us today</div>'
+    words = lambda i: " ".join(f"v{(i * 17 + j * j) % 89}" for j in range(60))
+    rows = [(10 * h + i, f"http://h{h}/{i}", page.format(words(10 * h + i))) for h in range(4) for i in range(6)] + [(900, "http://alone/", page.format(words(900)))]
+    out = site(rows, spark, evidence=False)
+    assert out == {i: words(i) for i in out} and len(out) == 25
+
+
+def test_pages_without_any_other_to_learn_from_are_judged_by_names(spark):
+    rows = [(1, "http://one/", '<nav>home two</nav><article><p>The words</p></article><div class="sidebar">else</div>')]
+    assert site(rows, spark) == {1: "The words"}
+
+
+def test_a_host_of_very_many_pages(spark):
+    page = '<div class="ta">same links</div><article><p>words {0} of {0} own {0}</p></article>'
+    rows = [(i, f"http://big/{i}", page.format(i)) for i in range(3000)]
+    assert site(rows, spark) == {i: f"words {i} of {i} own {i}" for i in range(3000)}
 
 
 def test_copies_of_a_page_are_no_template(spark):
