@@ -123,11 +123,10 @@ def test_tissue_background_by_marker(spark):
     assert not free[0] and free[9]
 
 
-def test_local_masks_in_bands(spark, monkeypatch):
+def test_local_masks_in_parts(spark):
     channels = table(spark, np.stack([two_levels(16, 16), two_levels(16, 16)])[None] / 150, ["image_id", "c", "y", "x"])
     one = sorted(map(tuple, tissue.local_masks(channels, 3).collect()))
-    monkeypatch.setattr(tissue, "_CELLS", 2000)
-    assert sorted(map(tuple, tissue.local_masks(channels, 3).collect())) == one and any(r[-1] for r in one)
+    assert sorted(map(tuple, tissue.local_masks(channels, 3, side=5).collect())) == one and any(r[-1] for r in one)
 
 
 def test_butterworth_and_gray(spark):
