@@ -17,8 +17,12 @@ from pixelweave.sources.tiles import _assembled, _fields, _ints, _keys, _numbers
 _TOGETHER = 1 << 20
 
 
-def packed_psf(psf: DataFrame) -> DataFrame:
-    """(psf_id, pd, ph, pw, kernel): a PSF in one row, as little-endian doubles; pd is 1 for a plane."""
+def packed_psf(psf: DataFrame, tiles: DataFrame | None = None) -> DataFrame:
+    """(psf_id, pd, ph, pw, kernel): a PSF in one row, as little-endian doubles; pd is 1 for a plane.
+
+    With ``tiles``, only the PSFs that they name are packed. The table asks to be joined by a shuffle, as Spark
+    guesses the size of a table made by ``explode`` too low and would gather any number of kernels in the driver.
+    """
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         solid = np.zeros([rows[c].max() + 1 for c in ("z", "y", "x")])
@@ -26,7 +30,10 @@ def packed_psf(psf: DataFrame) -> DataFrame:
         return pd.DataFrame({"psf_id": [rows["psf_id"].iloc[0]], **{n: [s] for n, s in zip(("pd", "ph", "pw"), solid.shape, strict=True)}, "kernel": [solid.astype("<f8").tobytes()]})
 
     own = psf if "z" in psf.columns else psf.withColumn("z", F.lit(0))
-    return own.groupBy("psf_id").applyInPandas(pack, f"psf_id {psf.schema['psf_id'].dataType.simpleString()}, pd int, ph int, pw int, kernel binary")
+    if tiles is not None:
+        own = own.join(tiles.select("psf_id").distinct(), "psf_id", "left_semi")
+    packed = own.groupBy("psf_id").applyInPandas(pack, f"psf_id {psf.schema['psf_id'].dataType.simpleString()}, pd int, ph int, pw int, kernel binary")
+    return packed.hint("merge")
 
 
 def _solid(kernel, shape: list[int], dims: tuple[str, ...]) -> np.ndarray:
@@ -47,7 +54,7 @@ def richardson_lucy(tiles: DataFrame, psf: DataFrame, num_iters: int = 10, nonci
     unchanged. A plane in parts is an error: see ``richardson_lucy_tiles``.
     """
     dims, keys = axes(tiles), [k for k in _keys(tiles) if k != "psf_id"]
-    rows = tiles.join(packed_psf(psf), "psf_id")
+    rows = tiles.join(packed_psf(psf, tiles), "psf_id")
     if mask is not None:
         rows = rows.join(mask.select(*(k for k in _keys(mask) if k != "psf_id"), F.col("data").alias("seen")), [k for k in _keys(mask) if k in keys])
     else:
@@ -109,7 +116,7 @@ def richardson_lucy_tiles(tiles: DataFrame, psf: DataFrame, num_iters: int = 10,
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*keys, "psf_id", *size)), total], [*keys, "psf_id", *size, "total"])
 
     totals = rows.select(*keys, "psf_id", *size, "data").mapInArrow(summed, _fields(tiles, [*keys, "psf_id"]) + "".join(f"{c} int, " for c in size) + "total double")
-    whole = totals.groupBy(*keys, "psf_id", *size).agg(F.sum("total").alias("total")).join(packed_psf(psf), "psf_id")
+    whole = totals.groupBy(*keys, "psf_id", *size).agg(F.sum("total").alias("total")).join(packed_psf(psf, tiles), "psf_id")
     extra = F.struct("total", *size, "pd", "ph", "pw", "kernel")
     # one row an image: its sum and its PSF go along to every block
     rows = rows.join(whole.select(*keys, extra.alias("known")), keys)

@@ -15,6 +15,11 @@ def _normalized(psf: DataFrame) -> DataFrame:
     return psf.withColumn("value", F.col("value") / F.sum("value").over(Window.partitionBy("psf_id")))
 
 
+def used(settings: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The settings whose psf_id a row of ``tiles`` has, so that no other PSF is made."""
+    return settings.join(tiles.select("psf_id").distinct(), "psf_id", "left_semi")
+
+
 def gaussian(settings: DataFrame) -> DataFrame:
     """From (psf_id, xy_dim, xy_sigma, [z_dim, z_sigma]): sampled at dim points from -(dim div 2) to dim div 2, sum 1."""
     if "z_dim" not in settings.columns:
