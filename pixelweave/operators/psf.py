@@ -70,9 +70,12 @@ def clip(psf: DataFrame) -> DataFrame:
     return _normalized(psf.withColumn("value", F.greatest("value", F.lit(0.0))))
 
 
-def recenter(psf: DataFrame, new_z: int) -> DataFrame:
-    """``new_z`` planes around the brightest one (the first of equals), at new_z div 2; an error if they run off."""
-    peak = psf.groupBy("psf_id").agg(F.max(F.struct("value", (-F.col("z")).alias("m"))).alias("p"), (F.max("z") + 1).alias("planes"))
+def recenter(psf: DataFrame, new_z: int, by: str = "value") -> DataFrame:
+    """``new_z`` planes around the brightest one (the first of equals), at new_z div 2; an error if they run off.
+
+    Brightness is that of the column ``by``, which may be another than the values, like those of a smoothed or marked copy.
+    """
+    peak = psf.groupBy("psf_id").agg(F.max(F.struct(by, (-F.col("z")).alias("m"))).alias("p"), (F.max("z") + 1).alias("planes"))
     start = peak.select("psf_id", (-F.col("p.m") - new_z // 2).alias("start"), "planes")
     off = (F.col("start") < 0) | (F.col("start") + new_z > F.col("planes"))
     checked = start.withColumn("start", F.when(off, F.raise_error(F.lit("the peak is too near to an end of the planes"))).otherwise(F.col("start")))

@@ -24,3 +24,12 @@ def test_only_psfs_in_use_are_packed_and_none_is_broadcast(spark):
     out = richardson_lucy(tiles, every, 2)
     assert not any("BroadcastExchange" in line and "binary" in line for line in _plan(out).splitlines())
     assert sorted(out.collect()) == sorted(richardson_lucy(tiles, psf.gaussian(psf.used(settings, tiles)), 2).collect())
+
+
+def test_recentring_holds_where_counts_outgrow_the_middle_plane(spark, tmp_path):
+    spark.range(60).selectExpr("0L l_suppkey", "1 l_linenumber", "5L l_partkey", "3.0D l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = relational.QUERIES["D5_recenter"](spark, str(tmp_path))
+    found = {(r.z, r.n, r.s) for r in out.where("psf_id = 0").groupBy("z").agg(F.count("value").alias("n"), F.sum("value").alias("s")).collect()}
+    assert found == {(0, 1024, 0.0), (1, 1024, 10240.0), (2, 1024, 0.0)}
+    with pytest.raises(Exception, match="too near"):
+        psf.recenter(relational._psf_stack(spark, str(tmp_path)), 3).collect()
