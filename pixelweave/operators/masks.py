@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.functions.ranks import ranked
+from pixelweave.functions.staging import spread
 from pixelweave.operators.boxes import slices
 
 
@@ -33,8 +35,9 @@ def areas(masks: DataFrame) -> DataFrame:
 def order_by_area(masks: DataFrame, descending: bool = True) -> DataFrame:
     """Masks renumbered by area; equal areas keep their order."""
     by = F.desc("area") if descending else F.asc("area")
-    ranks = areas(masks).withColumn("rank", (F.row_number().over(Window.partitionBy("image_id").orderBy(by, "mask_id")) - 1).cast("int"))
-    return masks.join(ranks.drop("area"), ["image_id", "mask_id"]).drop("mask_id").withColumnRenamed("rank", "mask_id")
+    ranks = ranked(areas(masks), ["image_id"], [by, "mask_id"]).withColumn("rank", F.col("rank") - 1)
+    # by a shuffle, as a broadcast would gather all masks' ranks in the driver and leave the pixels in the few tasks that read them
+    return masks.join(ranks.drop("area").hint("merge"), ["image_id", "mask_id"]).drop("mask_id").withColumnRenamed("rank", "mask_id")
 
 
 def drop_empty(boxes: DataFrame, masks: DataFrame, box: str = "box_id") -> DataFrame:
@@ -47,7 +50,8 @@ def drop_empty(boxes: DataFrame, masks: DataFrame, box: str = "box_id") -> DataF
 def to_runs(masks: DataFrame) -> DataFrame:
     """(image_id, mask_id, y, x0, len): runs of set pixels in a row."""
     order = Window.partitionBy("image_id", "mask_id", "y").orderBy("x")
-    island = masks.withColumn("gap", F.col("x") - F.row_number().over(order))
+    dealt = spread(masks, "image_id", "mask_id", "y")  # a task sorts a part of the pixels, not its core's share of them all
+    island = dealt.withColumn("gap", F.col("x") - F.row_number().over(order))
     return island.groupBy("image_id", "mask_id", "y", "gap").agg(F.min("x").alias("x0"), F.count(F.lit(1)).alias("len")).drop("gap")
 
 
