@@ -1,10 +1,12 @@
 """Equal boxes, unused PSFs and other input that grows without growing in kind."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.jobs import relational
+from pixelweave.jobs import relational, workflows
 from pixelweave.operators import boxes, masks, models, psf
 from pixelweave.operators.deconvolve import packed_psf, richardson_lucy
 from pixelweave.sources.tiles import to_tiles
@@ -33,3 +35,77 @@ def test_recentring_holds_where_counts_outgrow_the_middle_plane(spark, tmp_path)
     assert found == {(0, 1024, 0.0), (1, 1024, 10240.0), (2, 1024, 0.0)}
     with pytest.raises(Exception, match="too near"):
         psf.recenter(relational._psf_stack(spark, str(tmp_path)), 3).collect()
+
+
+def _copies(spark, n=240):
+    rng = np.random.default_rng(3)
+    kinds = [tuple(int(v) for v in (y, x, y + h, x + w)) for y, x, h, w in rng.integers([0, 0, 0, 1], [30, 30, 25, 25], (30, 4))]
+    rows = [(int(i % 2), i, *kinds[rng.integers(len(kinds))], float(rng.integers(9)) / 8) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "image_id long, box_id int, min_y int, min_x int, max_y int, max_x int, score double").repartition(3)
+
+
+def _iou(p, q):
+    h, w = min(p[4], q[4]) - max(p[2], q[2]), min(p[5], q[5]) - max(p[3], q[3])
+    size = lambda b: (b[4] - b[2]) * (b[5] - b[3])
+    return h * w / (size(p) + size(q) - h * w) if h > 0 and w > 0 else 0.0
+
+
+def test_pairs_of_copies_are_whole_and_compared_once(spark):
+    rows, table = _copies(spark)
+    want = sorted((p[0], p[1], q[1], round(_iou(p, q), 9)) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and _iou(p, q) > 0.3)
+    assert sorted((r.image_id, r.a, r.b, round(r.iou, 9)) for r in boxes.iou_pairs(table, 0.3).collect()) == want
+    firsts, members = boxes.equals(table, ["image_id"])
+    assert firsts.count() == len({(r[0], *r[2:6]) for r in rows}) and members.count() == len(rows)
+
+
+@pytest.mark.parametrize("iou", [0.5, 0.0, 1.0])
+def test_suppression_of_copies_is_the_greedy_one(spark, iou):
+    rows, table = _copies(spark)
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[6], r[1])):
+        if r[6] >= 0.2 and all(k[0] != r[0] or _iou(k, r) <= iou for k in kept):
+            kept.append(r)
+    assert sorted(tuple(r) for r in boxes.nms(table, 0.2, iou, None).collect()) == sorted(kept)
+
+
+def test_copies_of_boxes_get_the_same_mask(spark):
+    rows, table = _copies(spark)
+    pixels = spark.range(2 * 32 * 32).selectExpr("id div 1024 image_id", "cast(id % 1024 div 32 as int) y", "cast(id % 32 as int) x", "cast(id * 37 % 11 as double) value")
+    found = {}
+    for r in models.classical_masks(pixels, table).collect():
+        found.setdefault((r.image_id, r.mask_id), set()).add((r.y, r.x))
+    sides = {(r[0], r[1]): r[2:6] for r in rows}
+    for k, spots in found.items():
+        assert all(found.get(other) == spots for other, s in sides.items() if other[0] == k[0] and s == sides[k])
+    alone = models.classical_masks(pixels, table.where("box_id = 17")).collect()
+    assert {(r.y, r.x) for r in alone} == found.get((17 % 2, 17), set())
+
+
+def test_order_by_area_leaves_ranks_out_of_the_driver(spark):
+    rows = spark.range(60).selectExpr("id % 2 image_id", "cast(id div 2 as int) mask_id", "posexplode(sequence(0, cast(id * 7 % 5 as int))) as (x, v)").selectExpr("image_id", "mask_id", "0 y", "x")
+    out = masks.order_by_area(rows)
+    assert re.search(r"SortMergeJoin \[image_id#\w+, mask_id", _plan(out))
+    size = {}
+    for r in rows.collect():
+        size[r.image_id, r.mask_id] = size.get((r.image_id, r.mask_id), 0) + 1
+    want = {(i, k): n for i in (0, 1) for k, n in enumerate(n for _, n in sorted(((m, n) for (j, m), n in size.items() if j == i), key=lambda p: (-p[1], p[0])))}
+    assert {(r.image_id, r.mask_id): r["n"] for r in out.groupBy("image_id", "mask_id").agg(F.count("x").alias("n")).collect()} == want
+
+
+def test_runs_are_sorted_in_parts_that_spark_does_not_merge(spark):
+    rows = spark.range(500).selectExpr("0L image_id", "cast(id % 50 as int) mask_id", "cast(id div 100 as int) y", "cast(id % 100 div 50 * 2 + id % 3 as int) x").distinct()
+    assert "REPARTITION_BY_NUM" in _plan(masks.to_runs(rows))
+    assert sorted(masks.from_runs(masks.to_runs(rows)).collect()) == sorted(rows.collect())
+
+
+def test_a_value_at_the_mean_is_not_above_it(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(60):
+        v = rng.integers(60, 186, 64)
+        v[:8] = 120
+        v[8:36] = 240 - v[36:]
+        rows += [(i, k // 8, k % 8, float(x)) for k, x in enumerate(v)]
+    table = spark.createDataFrame(rows, "image_id long, y int, x int, value double")
+    want = sorted(r[:3] for r in rows if r[3] > 120)
+    assert sorted((r.image_id, r.y, r.x) for r in models.segment_with(to_tiles(table, 8), workflows._mean_model).collect()) == want
