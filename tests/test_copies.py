@@ -3,12 +3,14 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pixelweave.jobs import relational, workflows
-from pixelweave.operators import boxes, masks, models, psf
+from pixelweave.operators import boxes, components, masks, models, psf
 from pixelweave.operators.deconvolve import packed_psf, richardson_lucy
+from pixelweave.sources import tiles as tiles_module
 from pixelweave.sources.tiles import to_tiles
 
 
@@ -109,3 +111,25 @@ def test_a_value_at_the_mean_is_not_above_it(spark):
     table = spark.createDataFrame(rows, "image_id long, y int, x int, value double")
     want = sorted(r[:3] for r in rows if r[3] > 120)
     assert sorted((r.image_id, r.y, r.x) for r in models.segment_with(to_tiles(table, 8), workflows._mean_model).collect()) == want
+
+
+def test_tiles_are_worked_on_by_a_bounded_number_of_pixels(monkeypatch):
+    monkeypatch.setattr(tiles_module, "TOGETHER", 100)
+    sides = pa.array([5, 5, 5, 20, 3, 3], pa.int32())
+    batch = pa.RecordBatch.from_arrays([sides, sides, pa.array(range(6))], ["dy", "dx", "i"])
+    parts = [p.column("i").to_pylist() for p in tiles_module._some([batch, batch.slice(0, 0)], ("y", "x"))]
+    assert sum(parts, []) == list(range(6)) and len(parts) > 2 and [3] in parts
+    table, cuts = pa.Table.from_batches([batch]), np.array([0, 2, 3, 4, 6])
+    some = list(tiles_module._few([(table, cuts)], lambda t: np.prod(tiles_module._ints(t, ["dy", "dx"]), axis=0)))
+    assert sum((t.column("i").to_pylist() for t, _ in some), []) == list(range(6)) and sum(len(c) - 1 for _, c in some) == 4 and len(some) > 1
+
+
+def test_objects_of_many_images_in_one_batch_stay_apart(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(y), int(x)) for i in range(80) for y, x in np.argwhere(rng.random((9, 11)) < 0.45) + rng.integers(0, 40)]
+    table = spark.createDataFrame(rows, "image_id long, y int, x int")
+    got = {(r.image_id, r.y, r.x): r.label for r in components.label(table, ["image_id"], tile=8).collect()}
+    for i in range(80):
+        spots = np.array(sorted(r[1:] for r in rows if r[0] == i))
+        want = np.unique(components.sparse_roots(spots), return_inverse=True)[1] + 1
+        assert [got[i, int(y), int(x)] for y, x in spots] == want.tolist()
