@@ -18,13 +18,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of more symbols than this is merged with a heap, as rounds would take time by its square.
 LONG_WORD = 400
 #: Distinct words that a worker remembers before it starts afresh, which bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Bytes of text that a worker reads and encodes at a time, and distinct words that merge together.
+TOGETHER, WORDS_TOGETHER = 1_000_000, 20_000
 MARK = "▁"
 
 
@@ -222,8 +225,8 @@ class Codec:
         if new and len(self.known) + len(new) > REMEMBERED:
             self.known = {}
             new = list({w for ws in split for w in ws})
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
+        for at in range(0, len(new), WORDS_TOGETHER):
+            some = new[at : at + WORDS_TOGETHER]
             for w, ids in zip(some, self.model.encode_words(some), strict=True):
                 self.known[w] = (len(ids), " ".join(map(str, ids)), self.model.piece_bytes(ids))
         return split
@@ -252,24 +255,22 @@ ENCODED = "n_tokens long, ids string, decoded string"
 def _coded(batches: Iterator[pa.RecordBatch], path: str, hashed: bool) -> Iterator[pa.RecordBatch]:
     codec = Codec(path)
     for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        rest = [batch.column(i) for i in range(1, batch.num_columns)]
-        counts, ids, back, at = [], [], [], 0
-        while at < len(texts):  # by parts of a few million characters, as a batch may hold very long texts
+        sizes, at = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist(), 0
+        while at < len(sizes):  # rows of some bytes at a time are read, coded and handed on, as a batch may hold very long texts
             end, held = at, 0
-            while end < len(texts) and (end == at or held + len(texts[end]) < 4_000_000):
-                held += len(texts[end])
+            while end < len(sizes) and (end == at or held + sizes[end] < TOGETHER):
+                held += sizes[end]
                 end += 1
-            for words in codec.learn(texts[at:end]):
+            part, at = batch.slice(at, end - at), end
+            rest = [part.column(i) for i in range(1, part.num_columns)]
+            counts, ids, back = [], [], []
+            for words in codec.learn([t or "" for t in part.column(0).to_pylist()]):
                 known = [codec.known[w] for w in words]
                 counts.append(sum(k[0] for k in known) + 1)
-                ids.append(" ".join([k[1] for k in known] + [str(codec.model.eos)]))
-                back.append(decoded(b"".join(k[2] for k in known)))
-            at = end
-        if hashed:
-            ids = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
-            back = [hashlib.sha256(x.encode()).hexdigest() for x in back]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*[f"c{i}" for i in range(len(rest))], "n_tokens", "ids", "decoded"])
+                for out, made in ((ids, " ".join([k[1] for k in known] + [str(codec.model.eos)])), (back, decoded(b"".join(k[2] for k in known)))):
+                    out.append(hashlib.sha256(made.encode()).hexdigest() if hashed else made)
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*[f"c{i}" for i in range(len(rest))], "n_tokens", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
 
 
 def encode_table(docs: DataFrame, path: str, keep: list[str], text: str = "text", hashed: bool = False) -> DataFrame:
