@@ -85,15 +85,15 @@ def noise(tiles: DataFrame) -> DataFrame:
 
 def non_local_means(tiles: DataFrame, patch_size: int = 7, patch_distance: int = 11, h: float = 0.1, sigma: float | None = None, fast_mode: bool = True) -> DataFrame:
     """``sigma`` is a share of the image's range; without one it is the noise of the scaled plane, averaged over the channels (c) of an image."""
-    halo = patch_distance + patch_size // 2
+    halo, dims = patch_distance + patch_size // 2, len(axes(tiles))
     if sigma is not None:
-        return _scaled(tiles, lambda a: k.non_local_means(a, patch_size, patch_distance, h, sigma, fast_mode), halo)
+        return _scaled(tiles, None, halo, lambda scaled: apply_halo(scaled, lambda a: k.non_local_means(a, patch_size, patch_distance, h, sigma, fast_mode, dims), halo, stacked=True))
     keys = _keys(tiles)
     alike = [c for c in keys if c != "c"]
 
     def with_noise(scaled: DataFrame) -> DataFrame:
         found = noise(scaled).groupBy(*alike).agg(F.avg("noise").alias("noise"))
-        return apply_halo(scaled.join(found, alike), lambda a, deviation: k.non_local_means(a, patch_size, patch_distance, h, deviation, fast_mode), halo, extra="noise")
+        return apply_halo(scaled.join(found, alike), lambda a, deviation: k.non_local_means(a, patch_size, patch_distance, h, deviation, fast_mode, dims), halo, extra="noise", stacked=True)
 
     return _scaled(tiles, None, halo, with_noise)
 

@@ -59,3 +59,23 @@ def test_default_estimates_the_noise_and_does_not_depend_on_the_tile(spark):
     assert all(abs(whole[k] - parts[k]) < 1e-9 for k in whole) and any(abs(whole[k] - without[k]) > 1e-3 for k in whole)
     error = lambda found: sum((found[y, x] - clean[y, x]) ** 2 for y, x in found)
     assert error(whole) < error(without)
+
+
+def test_small_tiles_are_filtered_as_stacks(spark, monkeypatch):
+    """Equal blocks go to the kernel together, each with its own noise, and come out as alone."""
+    rng = np.random.default_rng(8)
+    planes = {i: rng.random((8, 8 - i % 2)) * (1 + i) for i in range(30)}
+    tiles, real = t.to_tiles(image(spark, planes), 5).coalesce(1), kernels.non_local_means
+    got = {}
+    for r in t.from_tiles(filters.non_local_means(tiles, 3, 3)).collect():
+        got.setdefault(r["image_id"], np.zeros(planes[r["image_id"]].shape))[r["y"], r["x"]] = r["value"]
+    noise = {r["image_id"]: r["noise"] for r in filters.noise(tiles).collect()}
+    for i, a in planes.items():
+        lo, span = a.min(), a.max() - a.min()
+        assert np.allclose(got[i], real((a - lo) / span, 3, 3, sigma=noise[i] / span) * span + lo)
+    blocks, sigmas = rng.random((40, 8, 7)), rng.random(40) * 0.1
+    for fast in (True, False):
+        assert (real(blocks, 3, 3, 0.1, sigmas, fast, 2) == np.stack([real(b, 3, 3, 0.1, s, fast) for b, s in zip(blocks, sigmas, strict=True)])).all()
+    monkeypatch.setattr(t, "STACKED", 8 * 7 * 16)
+    stacks = list(t._stacks([*blocks, rng.random((5, 5))]))
+    assert sorted(map(len, stacks)) == [1, 8, 16, 16] and sorted(i for s in stacks for i in s) == list(range(41))
