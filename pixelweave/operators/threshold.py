@@ -196,7 +196,9 @@ def best_cuts(b: np.ndarray, n: np.ndarray, classes: int) -> list[float] | None:
     """By dynamic programming: the best score of k classes up to each bin, from that of k - 1.
 
     The best begin of the last class never falls as its end grows, so the ends are
-    halved: those in between look only between the begins of their neighbours. Memory
+    halved: those in between look only between the begins of their neighbours. Then the
+    choices whose score is the best but for rounding are gone through: of equal sums of the
+    classes in their order, the one with the least first cut, then second, counts. Memory
     is in proportion to the number of bins.
     """
     if len(b) < classes:
@@ -207,9 +209,9 @@ def best_cuts(b: np.ndarray, n: np.ndarray, classes: int) -> list[float] | None:
         return (s[j] - s[i]) ** 2 / (c[j] - c[i])
 
     ends = np.arange(1, size + 1)
-    score, back = np.concatenate([[-np.inf], part(np.zeros_like(ends), ends)]), []
+    scores = [np.full(size + 1, -np.inf), score := np.concatenate([[-np.inf], part(np.zeros_like(ends), ends)])]
     for made in range(1, classes):
-        best, begin = np.full(size + 1, -np.inf), np.zeros(size + 1, np.int64)
+        best = np.full(size + 1, -np.inf)
         # intervals of ends, each with the begins that its ends may have
         todo = np.array([[made + 1, size, made, size - 1]])
         while len(todo):
@@ -223,15 +225,25 @@ def best_cuts(b: np.ndarray, n: np.ndarray, classes: int) -> list[float] | None:
             top = np.maximum.reduceat(value, cut)
             hit = np.flatnonzero(value == np.repeat(top, count))
             at = i[hit[np.searchsorted(hit, cut)]]
-            best[end], begin[end] = top, at
+            best[end] = top
             todo = np.concatenate([np.stack([low, end - 1, first, at], 1)[low < end], np.stack([end + 1, high, at, last], 1)[end < high]])
-        back.append(begin)
-        score = best
-    at, found = size, []
-    for step in reversed(back):
-        at = step[at]
-        found.append(float(b[at - 1]))
-    return found[::-1]
+        scores.append(score := best)
+    least, found = score[size] - 4 * classes * np.spacing(abs(score[size])), []
+
+    def look(made: int, cuts: list[int], rest: float) -> None:
+        """Cuts before those found from the end on, whose classes have the score ``rest``."""
+        i = np.arange(made, cuts[0])
+        last = part(i, np.full_like(i, cuts[0]))
+        for k in np.flatnonzero(scores[made][i] + last + rest >= least):
+            if made > 1:
+                look(made - 1, [i[k], *cuts], rest + last[k])
+                continue
+            every = np.array([0, i[k], *cuts])
+            choice = (-float(sum(part(every[:-1], every[1:]))), [int(x) for x in every[1:-1]])
+            found[:] = [min([*found, choice])]
+
+    look(classes - 1, [size], 0.0)
+    return [float(b[x - 1]) for x in found[0][1]]
 
 
 def multiotsu(pixels: DataFrame, classes: int = 3, per: list[str] | None = None, label_objects: bool = False, integer: bool | None = None) -> DataFrame:
