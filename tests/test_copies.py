@@ -60,6 +60,19 @@ def test_pairs_of_copies_are_whole_and_compared_once(spark):
     assert firsts.count() == len({(r[0], *r[2:6]) for r in rows}) and members.count() == len(rows)
 
 
+def test_pairs_are_made_behind_the_last_shuffle(spark, monkeypatch):
+    """Lists of members move, and never a row for a member and each set that it overlaps; sets of many lists meet in parts, each pair once."""
+    rows, table = _copies(spark)
+    want = sorted((p[0], p[1], q[1], round(_iou(p, q), 9)) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and _iou(p, q) > 0.3)
+    for listed, together in ((1024, 8192), (2, 3)):
+        monkeypatch.setattr(boxes, "LISTED", listed, raising=False)
+        monkeypatch.setattr(boxes, "TOGETHER", together, raising=False)
+        found = boxes.iou_pairs(table, 0.3)
+        plan = _plan(found)
+        assert "explode(ids_b" in plan and plan.index("explode(ids_b") < plan.index("explode(ids_a") < plan.index("Exchange")
+        assert sorted((r.image_id, r.a, r.b, round(r.iou, 9)) for r in found.collect()) == want
+
+
 @pytest.mark.parametrize("iou", [0.5, 0.0, 1.0])
 def test_suppression_of_copies_is_the_greedy_one(spark, iou):
     rows, table = _copies(spark)
