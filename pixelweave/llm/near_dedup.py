@@ -32,6 +32,8 @@ THRESHOLD = 80
 #: Slots of a signature; 40 bands of 6 find a pair of similarity 0.8 but for 5 in a million.
 BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
+#: Slots whose bits of one place are in a word.
+PLANE = 60
 #: A pair whose estimate is this far below the threshold (five standard errors) isn't verified.
 MARGIN = 0.135
 #: Shingle elements that are worked on together, and words whose hashes a worker remembers.
@@ -111,14 +113,13 @@ def super_minhash(elements: np.ndarray, sizes: np.ndarray, slots: int = SLOTS) -
 
 
 def _bands(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (documents x BANDS) and four bits of each slot, sixteen to a word."""
+    """Band hashes (documents x BANDS) and four bits of each slot, sixty slots to four words: their first bits, second, third, fourth."""
     bits = _scramble(signature.view(np.uint64).reshape(signature.shape))
     acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0], (len(bits), BANDS)).copy()
     for r in range(ROWS):
         acc = _scramble(acc * _MIX[5] + bits[:, r::ROWS])
-    nibbles = (bits & np.uint64(15)).reshape(len(bits), -1, 16)
-    packed = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
-    return acc.view(np.int64), packed.view(np.int64)
+    planes = [((bits >> np.uint64(p) & np.uint64(1)).reshape(len(bits), -1, PLANE) << np.arange(PLANE, dtype=np.uint64)).sum(axis=2, dtype=np.uint64) for p in range(4)]
+    return acc.view(np.int64), np.stack(planes, axis=2).reshape(len(bits), -1).view(np.int64)
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -178,28 +179,31 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
 
 def _likely(bits_a: Column, bits_b: Column, size_a: Column, size_b: Column, threshold: int) -> Column:
     """Whether sizes allow the threshold and the estimate from four-bit slots comes near it."""
-    low = F.lit(0x1111111111111111)
-    words = SLOTS // 16
 
-    def differing(i: int) -> Column:
-        x = bits_a[i].bitwiseXOR(bits_b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(low))
+    def differing(word: int) -> Column:
+        x = bits_a[word].bitwiseXOR(bits_b[word])
+        for i in range(word + 1, word + 4):
+            x = x.bitwiseOR(bits_a[i].bitwiseXOR(bits_b[i]))
+        return F.bit_count(x)
 
+    # each word is named once: a join's condition computes again what it names again, and Java compiles no method of over 8,000 bytes
     differ = differing(0)
-    for i in range(1, words):
-        differ = differ + differing(i)
+    for word in range(4, SLOTS // PLANE * 4, 4):
+        differ = differ + differing(word)
     # a slot of different elements still agrees in four bits once in sixteen
     most = int(SLOTS * (1 - (threshold / 100 - MARGIN)) * 15 / 16)
     return (100 * F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)) & (differ <= most)
 
 
+def _linked(x: Column, y: Column, threshold: int) -> Column:
+    """Whether 100 * intersection >= threshold * union, with the intersection named once."""
+    return (100 + threshold) * F.size(F.array_intersect(x, y)) >= threshold * (F.size(x) + F.size(y))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The (a, b) whose full sets have 100 * intersection >= threshold * union."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_linked(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -251,9 +255,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one_way = (F.col("rb") == F.col("lead_b")) | (F.col("a") < F.col("b"))
     rest = placed.where("rep <> leader").join(torn, "bucket", "left_semi").select("bucket", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("lead_root").alias("lead_b"))
     # the full sets are held against each other inside the join, so near misses of a large group are never rows
-    both = F.size(F.array_intersect("ia", "ib"))
-    linked = 100 * both >= threshold * (F.col("na") + F.col("nb") - both)
-    near_enough = _likely(F.col("xa"), F.col("xb"), F.col("na"), F.col("nb"), threshold) & linked
+    near_enough = _likely(F.col("xa"), F.col("xb"), F.col("na"), F.col("nb"), threshold) & _linked(F.col("ia"), F.col("ib"), threshold)
     again = strangers.join(sized_a, "a").join(rest.join(sized_b, "b"), "bucket").where((F.col("ra") != F.col("rb")) & one_way & near_enough).select("a", "b").distinct()
     again = staged(again, "links")
     roots = components(links.unionByName(again))

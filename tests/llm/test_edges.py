@@ -253,3 +253,21 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= set(range(8)) and out and len(corpus_pipeline.STAGES) == 4
+
+
+def test_the_estimate_counts_differing_slots_and_names_each_word_once(spark):
+    """A join's condition computes again what it names again, and a method that grows so is never compiled."""
+    import numpy as np
+
+    signature = np.random.default_rng(5).random((2, near_dedup.SLOTS))
+    signature[1, : near_dedup.SLOTS * 7 // 10] = signature[0, : near_dedup.SLOTS * 7 // 10]
+    _, bits = near_dedup._bands(signature)
+    slots = near_dedup._scramble(signature.view(np.uint64).reshape(2, -1)) & np.uint64(15)
+    differ = int((slots[0] != slots[1]).sum())
+    frame = spark.createDataFrame([(bits[0].tolist(), bits[1].tolist(), 100, 100)], "xa array<long>, xb array<long>, na long, nb long")
+    test = lambda threshold: near_dedup._likely(F.col("xa"), F.col("xb"), F.col("na"), F.col("nb"), threshold)
+    most = lambda threshold: int(near_dedup.SLOTS * (1 - (threshold / 100 - near_dedup.MARGIN)) * 15 / 16)
+    got = frame.select(*(test(t).alias(f"t{t}") for t in range(20, 100))).first().asDict()
+    assert got == {f"t{t}": differ <= most(t) for t in range(20, 100)} and len(set(got.values())) == 2
+    plan = frame.where(test(80) & near_dedup._linked(F.col("xa"), F.col("xb"), 80))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("xa#") <= bits.shape[1] + 6 and plan.count("array_intersect") == 1
